@@ -33,7 +33,7 @@ REGION = 4096
 REACH = 64
 #: Most bits of 128 that may differ: four standard deviations above the mean at similarity 0.7 (19.2 and 4.04).
 SKETCH_BITS = 36
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 
 _SEEDS = S.mix(np.arange(1, 2 * SKETCH + 1, dtype=U))
 _XOR, _MULTIPLY = _SEEDS[:SKETCH], _SEEDS[SKETCH:] | U(1)

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import neardup
+from folioflow.llm import neardup, vectors
 from folioflow.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": lambda spark, d: neardup.found(table(spark, d, "chunks")),
     "p1_classes": lambda spark, d: neardup.classes(table(spark, d, "chunks")),
+    "p2_found": lambda spark, d: vectors.found(table(spark, d, "chunk_vectors")),
+    "p2_neighbours": lambda spark, d: vectors.neighbours(table(spark, d, "chunk_vectors")),
 }
 
 ORACLES: dict[str, str] = {}
