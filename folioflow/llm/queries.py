@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import neardup, vectors
+from folioflow.llm import boilerplate, lookalike, neardup, vectors
 from folioflow.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -14,6 +14,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_classes": lambda spark, d: neardup.classes(table(spark, d, "chunks")),
     "p2_found": lambda spark, d: vectors.found(table(spark, d, "chunk_vectors")),
     "p2_neighbours": lambda spark, d: vectors.neighbours(table(spark, d, "chunk_vectors")),
+    "p3_found": lambda spark, d: lookalike.found(table(spark, d, "pages")),
+    "p3_consistent": lambda spark, d: lookalike.consistent(table(spark, d, "pages")),
+    "p4_found": lambda spark, d: boilerplate.removed_lines(table(spark, d, "pages"), table(spark, d, "parsed_documents")),
+    "p4_pages": lambda spark, d: boilerplate.cleaned(table(spark, d, "pages"), table(spark, d, "parsed_documents")),
 }
 
 ORACLES: dict[str, str] = {}
