@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import boilerplate, lookalike, neardup, vectors
+from folioflow.llm import boilerplate, encode, leaks, lookalike, neardup, split, vectors
 from folioflow.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -18,6 +18,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_consistent": lambda spark, d: lookalike.consistent(table(spark, d, "pages")),
     "p4_found": lambda spark, d: boilerplate.removed_lines(table(spark, d, "pages"), table(spark, d, "parsed_documents")),
     "p4_pages": lambda spark, d: boilerplate.cleaned(table(spark, d, "pages"), table(spark, d, "parsed_documents")),
+    "p5_found": lambda spark, d: split.found(table(spark, d, "chunks")),
+    "p5_pieces": lambda spark, d: split.pieces(table(spark, d, "chunks")),
+    "p6_ids": lambda spark, d: encode.token_ids(table(spark, d, "documents")),
+    "p6_source_tokens": lambda spark, d: encode.token_counts(table(spark, d, "documents")),
+    "p7_found": lambda spark, d: leaks.found(table(spark, d, "documents"), table(spark, d, "eval_items")),
+    "p7_leaks": lambda spark, d: leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")),
 }
 
 ORACLES: dict[str, str] = {}
