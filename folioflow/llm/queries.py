@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import boilerplate, encode, leaks, lookalike, neardup, split, vectors
+from folioflow.llm import abuse, boilerplate, encode, leaks, lookalike, neardup, split, vectors
 from folioflow.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -24,6 +24,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_source_tokens": lambda spark, d: encode.token_counts(table(spark, d, "documents")),
     "p7_found": lambda spark, d: leaks.found(table(spark, d, "documents"), table(spark, d, "eval_items")),
     "p7_leaks": lambda spark, d: leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")),
+    "p8_found": lambda spark, d: abuse.found(table(spark, d, "documents"), table(spark, d, "review_labels")),
+    "p8_scores": lambda spark, d: abuse.scores(table(spark, d, "documents"), table(spark, d, "review_labels")),
+    "p8_rates": lambda spark, d: abuse.rates(table(spark, d, "documents"), table(spark, d, "review_labels")),
 }
 
 ORACLES: dict[str, str] = {}
