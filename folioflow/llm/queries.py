@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm import abuse, boilerplate, encode, leaks, lookalike, neardup, split, vectors
+from folioflow.llm import abuse, boilerplate, encode, leaks, lookalike, neardup, oracles, split, vectors
 from folioflow.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -29,4 +29,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_rates": lambda spark, d: abuse.rates(table(spark, d, "documents"), table(spark, d, "review_labels")),
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
