@@ -29,7 +29,8 @@ def page_lines(pages: DataFrame) -> DataFrame:
     once = placed.withColumn("_r", F.row_number().over(latest)).where("_r = 1")
     is_table = F.coalesce("has_table", F.lit(False))
     rows = F.when(is_table, F.array(F.coalesce("text", F.lit("")))).otherwise(T.lines(F.col("text")))
-    split = once.select("doc_id", "page_number", is_table.alias("is_table"), F.posexplode(rows).alias("line_no", "line"))
+    split = once.select("doc_id", "page_number", is_table.alias("is_table"), T.rows_of(rows, "line_no", "line"))
+    split = split.where("line is not null")
     return split.where(F.col("is_table") | (T.strip(F.col("line")) != ""))
 
 
@@ -141,7 +142,8 @@ def with_metadata(documents: DataFrame, doc_meta: DataFrame) -> DataFrame:
 
 def as_chunks(documents: DataFrame) -> DataFrame:
     """The chunk table from documents' parts."""
-    parts = documents.withColumn("part", F.explode("parts")).select("*", "part.*")
+    kept = ("doc_id", "source_filename", "circular_number", "date_issued")
+    parts = documents.select(*kept, T.rows_of(F.col("parts"), "_i", "part")).where("part is not null").select(*kept, "part.*")
     text = F.concat(T.header(F.col("circular_number"), F.col("path"), F.col("title")), F.lit("\n"), F.col("body"))
     return parts.select(
         T.chunk_id(F.col("doc_id"), F.col("path"), F.col("seq")).alias("chunk_id"), "doc_id", "source_filename", "page_start", "page_end",

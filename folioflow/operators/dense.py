@@ -85,7 +85,7 @@ def hashed_vectors(texts: DataFrame, key: str, text: str, buckets: int = 64) ->
     Blank and null texts have no vector. A key counts once (its smallest text).
     """
     once = texts.where(strip(F.col(text)) != "").groupBy(key).agg(F.min(text).alias(text))
-    rows = once.select(key, F.explode(tokens(F.col(text))).alias("term"))
+    rows = once.select(key, F.explode_outer(tokens(F.col(text))).alias("term")).where("term is not null")
     bucket = F.conv(F.substring(F.md5("term"), 1, 4), 16, 10).cast("int") % buckets
     counted = rows.groupBy(key, bucket.alias("bucket")).agg(F.count("*").cast("double").alias("n"))
     size = counted.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))

@@ -100,9 +100,10 @@ def split_oversized(chunks: DataFrame, config: Config = DEFAULT) -> DataFrame:
     work = work.withColumn("_blocks", F.when(big, blocks(T.body(F.col("text")))))
     parts = F.flatten(F.transform("_blocks", lambda b: F.when(T.token_count(b) > F.col("_budget"), sentences(b)).otherwise(F.array(b))))
     work = work.withColumn("_units", F.when(F.size("_blocks") > 1, parts).when(big, sentences(T.body(F.col("text")))))
-    groups = F.when(F.size("_units") > 1, rebalanced(packed(F.col("_units"), F.col("_budget")), F.col("_head"), config))
+    work = work.withColumn("_groups", F.when(F.size("_units") > 1, packed(F.col("_units"), F.col("_budget"))))
+    groups = rebalanced(F.col("_groups"), F.col("_head"), config)
     work = work.withColumn("_bodies", F.transform(groups, lambda g: T.strip(F.array_join(g, "\n"))))
-    work = work.select("*", F.posexplode(F.coalesce("_bodies", F.array(F.lit(None).cast("string")))).alias("_k", "_body"))
+    work = work.select("*", T.rows_of(F.col("_bodies"), "_k", "_body"))
     child, k = F.col("_body").isNotNull(), F.col("_k") + 1
     path = F.when(child, F.concat(F.col("section_path"), F.lit("["), k.cast("string"), F.lit("]"))).otherwise(F.col("section_path"))
     text = F.when(child, F.concat(T.header(F.col("circular_number"), path, F.col("section_title")), F.lit("\n"), F.col("_body"))).otherwise(F.col("text"))
