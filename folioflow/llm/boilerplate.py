@@ -44,8 +44,8 @@ def lines(pages: DataFrame, known: DataFrame) -> DataFrame:
     """source, ordinal, page_id, line_no, form, variant: the lines that can be cases; null texts have none."""
     texts = pages.where("text is not null and page_id is not null").select("page_id", "doc_id", "text")
     split = texts.join(small(known, BROADCAST_ROWS), "doc_id").select(
-        "source", "ordinal", "page_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")
-    )
+        "source", "ordinal", "page_id", F.posexplode_outer(F.split("text", "\n", -1)).alias("line_no", "line")
+    )  # outer: else the optimizer adds a filter that splits every text twice
     return (
         split.where(F.length("line") >= MIN_LETTERS)
         .withColumn("form", normal_form(F.col("line")))
@@ -85,7 +85,7 @@ def removed_lines(pages: DataFrame, parsed: DataFrame) -> DataFrame:
     placed = hits.withColumn("container", F.shiftright("ordinal", BITS)).withColumn("position", (F.col("ordinal") % (1 << BITS)).cast("int"))
     bitmaps = placed.groupBy("source", "form", "container").agg(F.expr("bitmap_construct_agg(position)").alias("bits"))
     byte = F.conv(F.hex(F.substring("bits", F.expr("position div 8 + 1"), F.lit(1))), 16, 10).cast("int")
-    set_there = F.shiftright(byte, 0).bitwiseAND(F.expr("shiftleft(1, position % 8)")) != 0
+    set_there = byte.bitwiseAND(F.expr("shiftleft(1, position % 8)")) != 0
     met = placed.join(bitmaps, ["source", "form", "container"])
     return met.where(set_there).select("page_id", F.col("line_no").cast("int").alias("line_no")).distinct()
 
