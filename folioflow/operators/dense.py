@@ -8,7 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.config import DEFAULT, Config
@@ -88,8 +88,9 @@ def hashed_vectors(texts: DataFrame, key: str, text: str, buckets: int = 64) ->
     rows = once.select(key, F.explode_outer(tokens(F.col(text))).alias("term")).where("term is not null")
     bucket = F.conv(F.substring(F.md5("term"), 1, 4), 16, 10).cast("int") % buckets
     counted = rows.groupBy(key, bucket.alias("bucket")).agg(F.count("*").cast("double").alias("n"))
-    size = counted.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))
-    return counted.join(size, key).select(key, "bucket", (F.col("n") / F.col("size")).alias("weight"))
+    # all three steps keep the partitioning by key: one shuffle
+    size = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))
+    return counted.select(key, "bucket", (F.col("n") / size).alias("weight"))
 
 
 def hashed_topk(index: DataFrame, questions: DataFrame, top_k: int) -> DataFrame:
