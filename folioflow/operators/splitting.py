@@ -12,11 +12,11 @@ _BLANK = T.S.replace(r"\s", r" \t\r\f")  # white space within a line
 # What begins a block; abbreviations and references whose dot ends no sentence.
 ITEM = rf"\n(?={_BLANK}*(?:\([a-z]\)|(?i:\({T.ROMAN}\))|(?i:{T.ROMAN}\.)|[-–—•*]){_BLANK}+)"
 SENTENCE = rf"(?<=[.?!]){T.S}+(?=[A-Z\"'(])"
-ABBREVIATION = (
-    r"(?i)\b(sec|section|sub-sec|sub-section|rule|sub-rule|clause|sub-clause|no|f\.no|f\. no|circ|circular|notif|notification|"
-    r"rs|dr|mr|mrs|ms|ca|cma|adv|e\.g|i\.e|viz|etc|al|w\.e\.f|r\.w|u/s|dt|dtd|dated|form|gstr|gstin|udin)\.$"
+FALSE_END = (
+    r"(?:\b(?i:sec|section|sub-sec|sub-section|rule|sub-rule|clause|sub-clause|no|f\.no|circ|circular|notif|notification|"
+    r"rs|dr|mr|mrs|ms|ca|cma|adv|e\.g|i\.e|viz|etc|al|w\.e\.f|r\.w|u/s|dt|dtd|dated|form|gstr|gstin|udin)"
+    r"|\d|vs|v|fig|ref|\b(?i:Section)\s+\d+(?:\(\w+\))*)\.$"
 )
-OPEN_ENDS = [r"\bFY\s+\d{4}-\d{2}\.$", r"\b\d{1,2}\.\d{1,2}\.\d{4}\.$", r"(?i)\bSection\s+\d+(\(\w+\))*\.$"]
 PROVISO = r"(?i)\bProvided\s+(?:further\s+|also\s+)?that\b"
 
 NONE = "array<string>"
@@ -30,11 +30,8 @@ def blocks(body: Column) -> Column:
 
 def no_end(sentence: Column) -> Column:
     """Whether the sentence so far ends in an abbreviation, number or reference, or an open proviso."""
-    word = F.regexp_extract(sentence, rf"({T.NS}+)$", 1)
-    open_end = word.rlike(ABBREVIATION) | word.rlike(r"\d\.$") | word.rlike(r"(?:vs|v|fig|ref)\.$")
-    for pattern in OPEN_ENDS:
-        open_end = open_end | sentence.rlike(pattern)
-    return open_end | (sentence.rlike(PROVISO) & ~sentence.endswith("."))
+    dot = sentence.endswith(".")
+    return F.when(dot, sentence.rlike(FALSE_END)).otherwise(sentence.rlike(PROVISO))
 
 
 def sentences(text: Column) -> Column:
