@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioflow.config import DEFAULT
 from folioflow.functions import text as T
 from folioflow.operators import chunking, dense, evidence, fusion, lexical, pages, splitting
+from folioflow.plans import chunk_oracles as K
 from folioflow.plans import oracles as O
 from folioflow.plans.lineage import cut
 from folioflow.sources.tables import table
@@ -192,6 +193,8 @@ ORACLES: dict[str, str] = {
     "document_report": O.DOCUMENT_REPORT,
     "line_states": O.LINE_STATES,
     "boundary_counts": O.BOUNDARY_COUNTS,
+    "raw_chunks": K.RAW_CHUNKS,
+    "merged_chunks": K.MERGED_CHUNKS,
     "chunk_parts": O.CHUNK_PARTS,
     "chunk_counts": O.COUNTS,
     "document_metadata": O.METADATA,
