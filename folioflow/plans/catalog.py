@@ -12,6 +12,7 @@ from folioflow.functions import text as T
 from folioflow.operators import chunking, dense, evidence, fusion, lexical, pages, splitting
 from folioflow.plans import chunk_oracles as K
 from folioflow.plans import oracles as O
+from folioflow.plans import split_oracles as X
 from folioflow.plans.lineage import cut
 from folioflow.sources.tables import table
 
@@ -195,6 +196,8 @@ ORACLES: dict[str, str] = {
     "boundary_counts": O.BOUNDARY_COUNTS,
     "raw_chunks": K.RAW_CHUNKS,
     "merged_chunks": K.MERGED_CHUNKS,
+    "document_chunks": X.DOCUMENT_CHUNKS,
+    "split_chunks": X.SPLIT_CHUNKS,
     "chunk_parts": O.CHUNK_PARTS,
     "chunk_counts": O.COUNTS,
     "document_metadata": O.METADATA,
