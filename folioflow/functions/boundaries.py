@@ -19,6 +19,8 @@ ROMAN_PAREN = rf"(?is)^{S}*\(({ROMAN})\){_ANY_REST}"
 CLAUSE = rf"(?s)^{S}*\(([a-z])\){_ANY_REST}"
 BARE_ROMAN = rf"(?is)^{S}*({ROMAN})\.{_ANY_REST}"
 BULLET = rf"(?s)^{S}*([-–—•*]){S}+.*$"
+#: How any of these begin: one test that most lines fail.
+POSSIBLE = rf"^{S}*[\p{{Nd}}(ivxIVX\-–—•*]"
 
 # Openings of prose, statutes and letterheads that are never headings.
 NO_HEADING_PREFIXES = [
@@ -63,7 +65,7 @@ def is_heading(stripped: Column) -> Column:
 
 def definite_kind(line: Column) -> Column:
     """The structural kind of a line that needs no context: decimal, top_level, roman, clause, bullet; else null."""
-    return (
+    marked = (
         F.when(line.rlike(DECIMAL), F.lit("decimal"))
         .when(line.rlike(TOP_LEVEL), F.lit("top_level"))
         .when(line.rlike(ROMAN_PAREN), F.lit("roman"))
@@ -71,12 +73,13 @@ def definite_kind(line: Column) -> Column:
         .when(strip(line).rlike(rf"(?i)^{ROMAN}\.$"), F.lit("roman"))
         .when(line.rlike(BULLET), F.lit("bullet"))
     )
+    return F.when(line.rlike(POSSIBLE), marked)
 
 
-def boundary_kind(line: Column, in_enumeration: Column) -> Column:
-    """The kind of boundary: as :func:`definite_kind`; a numeral with text within a list; a heading; else null."""
+def boundary_kind(line: Column, in_enumeration: Column, definite: Column | None = None) -> Column:
+    """The kind of boundary: as :func:`definite_kind` (if known: ``definite``); a numeral within a list; a heading; else null."""
     bare = in_enumeration & line.rlike(BARE_ROMAN)
-    return F.coalesce(definite_kind(line), F.when(bare, F.lit("roman")), F.when(is_heading(strip(line)), F.lit("heading")))
+    return F.coalesce(definite_kind(line) if definite is None else definite, F.when(bare, F.lit("roman")), F.when(is_heading(strip(line)), F.lit("heading")))
 
 
 def boundary_marker(line: Column, kind: Column) -> Column:

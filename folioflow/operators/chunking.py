@@ -47,7 +47,7 @@ def line_states(lines: DataFrame) -> DataFrame:
     free = ~F.col("is_table") & ~F.col("continues")
     states = states.withColumn("_definite", F.when(free, B.definite_kind(line)))
     states = states.withColumn("in_enumeration", F.coalesce(F.last("_definite", ignorenulls=True).over(before).isin(*IN_LIST), F.lit(False)))
-    states = states.withColumn("kind", F.when(free, B.boundary_kind(line, F.col("in_enumeration"))))
+    states = states.withColumn("kind", F.when(free, B.boundary_kind(line, F.col("in_enumeration"), F.col("_definite"))))
     states = states.withColumn("marker", B.boundary_marker(line, F.col("kind")))
     title = F.coalesce(F.last(F.when(F.col("kind") == "heading", F.col("marker")), ignorenulls=True).over(so_far), F.lit(""))
     starts = F.col("kind").isNotNull() | F.col("is_table") | F.coalesce(F.lag("is_table").over(order), F.lit(False))
