@@ -28,7 +28,7 @@ MIN_WORDS = 20
 THRESHOLD = 0.7
 TREES, DEPTH, SKETCH = 12, 3, 128
 #: A region of more rows than this is divided by deeper levels of the signature.
-REGION = 4096
+REGION = 32_768
 #: In a divided region, that many neighbours in sorted order are compared across the division.
 REACH = 64
 #: Most bits of 128 that may differ: four standard deviations above the mean at similarity 0.7 (19.2 and 4.04).
