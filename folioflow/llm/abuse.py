@@ -38,7 +38,7 @@ PENALTY, PENALTY_SHARE, LEAST_PENALTY = 3.0, 0.05, 0.5
 #: The expected severity below which a judgement against a document counts as wrong in later rounds.
 DOUBTFUL = 0.8
 #: A document is reported if its expected severity (0 to 2) is at least this.
-REPORTED = 0.7
+REPORTED = 0.5
 
 _DROP = {ord(c): None for c in map(chr, UNSEEN)}
 _SAME = {ord(a): b for a, b in LOOKALIKES.items()}
