@@ -2,8 +2,9 @@
 
 Every distinct body gets ``TREES`` signature orders. A tree's signature is a list of min-hashes in levels of ``DEPTH``;
 rows are sorted by signature, and neighbours whose longest common prefix covers the first level are candidates. A region
-(equal first level) of more than ``REGION`` bodies is divided by the next levels: adaptive depth. Candidates are kept if
-a 128-bit sketch of one-bit min-hashes allows the wanted similarity, then the exact similarity of the word-shingle sets
+(equal first level) of more than ``REGION`` bodies is divided by the next levels, as many as it needs: adaptive depth. A
+large region is divided before its rows meet in a task, so a hot one is never held whole. Candidates are kept if a 128-bit
+sketch of one-bit min-hashes allows the wanted similarity, then the exact similarity of the word-shingle sets
 decides. Exact copies are one body (class) until the end, so a hot group of copies costs one signature.
 
 Scale: one pass over the texts; then only fixed-size rows are shuffled (8-byte keys and sketches). Copies are grouped
@@ -91,76 +92,119 @@ def features(chunks: DataFrame) -> DataFrame:
     return rows.mapInArrow(_features, "chunk_id string, doc_id string, cls long, keys array<long>, s1 long, s2 long")
 
 
-def _regions(key: np.ndarray, deep: np.ndarray) -> np.ndarray:
-    """The region of each row (rows sorted by key, then deep levels), divided where it holds more than REGION rows."""
-    region = key.copy()
-    for level in range(deep.shape[1]):
-        edge = np.flatnonzero(np.concatenate(([True], region[1:] != region[:-1])))
-        counts = np.diff(np.concatenate((edge, [len(region)])))
-        if counts.max() <= REGION:
-            break
-        large = np.repeat(counts > REGION, counts)
-        region[large] = S.mix(region[large] * U(3) + deep[large, level])
-    return region
-
-
-def _near(key: np.ndarray, deep: np.ndarray, s1: np.ndarray, s2: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of classes that are neighbours of one region and whose sketches are close."""
-    region = _regions(key, deep)
-    divided = not np.array_equal(region, key)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    at, step = np.arange(len(key)), 1
-    while len(at):
-        at = at[at + step < len(key)]
-        prefix = key if divided and step <= REACH else region
+def _close(s1: np.ndarray, s2: np.ndarray, cls: np.ndarray, at: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of rows ``at`` and ``at + step`` the classes whose sketches are close, smaller class first."""
+    apart = np.bitwise_count(s1[at] ^ s1[at + step]) + np.bitwise_count(s2[at] ^ s2[at + step])
+    close = at[apart <= SKETCH_BITS]
+    a, b = cls[close], cls[close + step]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _near(prefix: np.ndarray, s1: np.ndarray, s2: np.ndarray, cls: np.ndarray, reach: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of classes of equal prefix (rows sorted by it; at most ``reach`` rows apart) whose sketches are close."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    at, step = np.arange(len(prefix)), 1
+    while len(at) and (reach is None or step <= reach):
+        at = at[at + step < len(prefix)]
         at = at[prefix[at] == prefix[at + step]]
-        apart = np.bitwise_count(s1[at] ^ s1[at + step]) + np.bitwise_count(s2[at] ^ s2[at + step])
-        close = at[apart <= SKETCH_BITS]
-        if len(close):
-            a, b = cls[close], cls[close + step]
-            found.append((np.minimum(a, b), np.maximum(a, b)))
+        found.append(_close(s1, s2, cls, at, step))
         step += 1
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
-def _candidates(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads rows sorted by key; the last region of a batch waits for the next batch."""
-    rest: list[np.ndarray] | None = None
+def _pairs(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+    real = a != b  # a body may meet itself where blocks are paired
+    if real.any():
+        yield pa.RecordBatch.from_arrays([pa.array(a[real]), pa.array(b[real])], names=["cls_a", "cls_b"])
 
-    def out(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, d1, d2, s1, s2 = (x.view(U) for x in columns[:5])
-        a, b = _near(key, np.stack([d1, d2], axis=1), s1, s2, columns[5])
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["cls_a", "cls_b"])
 
+def _candidates(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads rows sorted by region; the last region of a batch waits for the next batch, so at most one is held."""
+    rest: list[list[np.ndarray]] = []
     for batch in rows:
         columns = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+        region = columns[0]
+        if not len(region):
+            continue
+        if rest and region[-1] == rest[0][0][0]:
+            rest.append(columns)
+            continue
+        end = int(np.searchsorted(region, region[-1], side="left"))
+        done = [np.concatenate(x) for x in zip(*rest, [x[:end] for x in columns])]
+        rest = [[x[end:] for x in columns]]
+        yield from _pairs(*_near(done[0], done[1].view(U), done[2].view(U), done[3]))
+    if rest:
+        done = [np.concatenate(x) for x in zip(*rest)]
+        yield from _pairs(*_near(done[0], done[1].view(U), done[2].view(U), done[3]))
+
+
+def _in_order(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbours in sorted order with a common first level; the last REACH rows of a batch meet the next batch again."""
+    rest: list[np.ndarray] | None = None
+    for batch in rows:
+        columns = [batch.column(x).to_numpy(zero_copy_only=False) for x in ("key", "s1", "s2", "cls")]
         if rest is not None:
             columns = [np.concatenate(x) for x in zip(rest, columns)]
-        if not len(columns[0]):
-            continue
-        end = int(np.searchsorted(columns[0], columns[0][-1], side="left"))
-        rest = [x[end:] for x in columns]
-        if end:
-            yield from out([x[:end] for x in columns])
-    if rest is not None and len(rest[0]):
-        yield from out(rest)
-
-
-def candidates(bodies: DataFrame) -> DataFrame:
-    """Distinct pairs (cls_a < cls_b) of bodies that are close in some tree and by sketch."""
-    trees = bodies.select(
-        "cls", "s1", "s2", F.posexplode("keys").alias("tree", "key"), "keys"
-    ).select(
-        "key",
-        F.get("keys", (F.col("tree") + 1) % TREES).alias("d1"),
-        F.get("keys", (F.col("tree") + 2) % TREES).alias("d2"),
-        "s1", "s2", "cls",
-    )
-    ordered = trees.repartition("key").sortWithinPartitions("key", "d1", "d2")
-    return ordered.mapInArrow(_candidates, "cls_a long, cls_b long").distinct()
+        if len(columns[0]):
+            yield from _pairs(*_near(columns[0], columns[1].view(U), columns[2].view(U), columns[3], REACH))
+        rest = [x[-REACH:] for x in columns]
+
+
+def _large(rows: DataFrame, column: str) -> DataFrame:
+    """The regions of more than REGION rows with their sizes (map-side aggregated)."""
+    return cut(rows.groupBy(column).agg(F.count("*").alias("size")).where(F.col("size") > REGION))
+
+
+def _divided(rows: DataFrame) -> DataFrame:
+    """region, s1, s2, cls of rows (key, tree, keys, ..) of large regions: as many levels deep as each region needs.
+
+    Regions that are still large after all levels hold bodies of equal signatures: their rows become blocks of about
+    REGION / 2, every pair of blocks is a region, so that no pair of rows is missed and no task holds more.
+    """
+    rows = cut(rows.withColumn("region", F.col("key")))
+    for level in range(1, TREES):
+        large = _large(rows, "region")
+        if large.isEmpty():
+            return rows.select("region", "s1", "s2", "cls")
+        deeper = F.xxhash64("region", F.get("keys", (F.col("tree") + level) % TREES))
+        marked = rows.join(small(large, BROADCAST_ROWS), "region", "left")
+        rows = cut(marked.withColumn("region", F.when(F.col("size").isNotNull(), deeper).otherwise(F.col("region"))).drop("size"))
+    large = _large(rows, "region").withColumn("blocks", F.ceil(F.col("size") * 2 / REGION))
+    marked = rows.join(small(large, BROADCAST_ROWS), "region", "left")
+    mine = F.pmod(F.xxhash64("cls"), F.col("blocks"))
+    other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = marked.withColumn("mine", mine).withColumn("other", other)
+    pair = F.xxhash64("region", F.least("mine", "other"), F.greatest("mine", "other"))
+    return met.select(F.when(F.col("blocks").isNull(), F.col("region")).otherwise(pair).alias("region"), "s1", "s2", "cls")
+
+
+def _hot(known: DataFrame) -> DataFrame:
+    """The first-level keys that more than REGION rows (copies included) share: the only regions that can be too large."""
+    return _large(known.select(F.explode("keys").alias("key")), "key").select("key")
+
+
+def candidates(known: DataFrame) -> DataFrame:
+    """Distinct pairs (cls_a < cls_b) of bodies of ``known`` (cls, keys, s1, s2) that are close in some tree and by sketch."""
+    bodies = known.groupBy("cls").agg(*(F.first(x).alias(x) for x in ("keys", "s1", "s2")))
+    schema = "cls_a long, cls_b long"
+    hot = _hot(known)
+    divided = not hot.isEmpty()
+    bodies = cut(bodies) if divided else bodies
+    trees = bodies.select("cls", "s1", "s2", F.posexplode("keys").alias("tree", "key"), *(["keys"] if divided else []))
+    plain = trees.select(F.col("key").alias("region"), "s1", "s2", "cls")
+    if divided:
+        hot = small(hot, BROADCAST_ROWS)
+        cold = trees.join(hot, "key", "left_anti").select(F.col("key").alias("region"), "s1", "s2", "cls")
+        warm = cut(trees.join(hot, "key", "left_semi"))
+        plain = cold.unionByName(_divided(warm))
+    found = plain.repartition("region").sortWithinPartitions("region").mapInArrow(_candidates, schema)
+    if divided:
+        large = small(_large(warm, "key").select("key"), BROADCAST_ROWS)
+        d1, d2 = (F.get("keys", (F.col("tree") + k) % TREES) for k in (1, 2))
+        order = warm.join(large, "key", "left_semi").select("key", d1.alias("d1"), d2.alias("d2"), "s1", "s2", "cls")
+        order = order.repartitionByRange("key", "d1", "d2", "cls").sortWithinPartitions("key", "d1", "d2", "cls")
+        found = found.unionByName(order.mapInArrow(_in_order, schema))
+    return found.distinct()
 
 
 def _jaccard(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,8 +230,7 @@ def near_duplicates(chunks: DataFrame, threshold: float = THRESHOLD) -> tuple[Da
     """
     known = cut(features(chunks))
     members = known.select("chunk_id", "doc_id", "cls").distinct()
-    bodies = known.groupBy("cls").agg(F.min("chunk_id").alias("chunk_id"), *(F.first(x).alias(x) for x in ("keys", "s1", "s2")))
-    pairs = cut(candidates(bodies))
+    pairs = cut(candidates(known))
     ends = pairs.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
     wanted = cut(known.join(small(ends, BROADCAST_ROWS), "cls", "left_semi").groupBy("cls").agg(F.min("chunk_id").alias("chunk_id")))
     texts = (

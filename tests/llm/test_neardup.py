@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from folioflow.llm import neardup as N
@@ -68,13 +69,43 @@ def test_empty(spark):
     assert N.found(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_divided_regions_keep_neighbours(monkeypatch):
-    monkeypatch.setattr(N, "REGION", 8)
-    key = np.zeros(100, dtype=np.uint64)
-    deep = np.sort(np.random.default_rng(0).integers(0, 5, (100, 2)).astype(np.uint64), axis=0)
-    sketch = np.zeros(100, dtype=np.uint64)
-    a, b = N._near(key, deep, sketch, sketch, np.arange(100))
-    assert len(set(zip(a.tolist(), b.tolist()))) == sum(min(N.REACH, 99 - i) for i in range(100))
+def test_sorted_neighbours_across_batches():
+    n = 100
+    keys = np.repeat([1, 2], n // 2)
+    batch = pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(np.zeros(n, np.int64))] * 2, pa.array(np.arange(n))], names=["key", "s1", "s2", "cls"])
+    got = {pair for out in N._in_order(iter([batch.slice(0, 30), batch.slice(30, 50), batch.slice(80)])) for pair in zip(*(x.to_pylist() for x in out.columns))}
+    assert got == {(i, j) for i in range(n) for j in range(i + 1, n) if keys[i] == keys[j] and j - i <= N.REACH}
+
+
+def test_regions_across_batches():
+    region = np.repeat([3, 5, 9, 11], [2, 40, 1, 17])
+    n = len(region)
+    batch = pa.RecordBatch.from_arrays([pa.array(region), *[pa.array(np.zeros(n, np.int64))] * 2, pa.array(np.arange(n))], names=["region", "s1", "s2", "cls"])
+    got = [pair for out in N._candidates(batch.slice(k, 7) for k in range(0, n, 7)) for pair in zip(*(x.to_pylist() for x in out.columns))]
+    assert sorted(got) == [(i, j) for i in range(n) for j in range(i + 1, n) if region[i] == region[j]]
+
+
+def test_hot_regions_are_divided_and_lose_no_pair_of_equal_signatures(spark, monkeypatch):
+    """A third of the bodies with one signature stays in blocks of pairs; a region of other depth is divided by its levels."""
+    monkeypatch.setattr(N, "REGION", 16)
+    rng = random.Random(3)
+    same = [rng.getrandbits(40) for _ in range(N.TREES)]
+    rows = [(i, same, 0, 0) for i in range(60)]
+    rows += [(100 + i, [7, *(i // 3 * 100 + t for t in range(1, N.TREES))], 1, 1) for i in range(60)]
+    rows += [(200 + i, [rng.getrandbits(40) for _ in range(N.TREES)], 2, 2) for i in range(60)]
+    known = spark.createDataFrame(rows + rows[:50], "cls long, keys array<long>, s1 long, s2 long")
+    got = [tuple(r) for r in N.candidates(known).collect()]
+    assert len(got) == len(set(got)) and all(a < b for a, b in got)
+    assert {(a, b) for a, b in got if b < 60} == {(a, b) for a in range(60) for b in range(a + 1, 60)}
+    assert {(100 + i, 100 + j) for i in range(60) for j in range(i + 1, 60) if i // 3 == j // 3} <= set(got)
+    assert all(b < 60 or 100 <= a < b < 160 for a, b in got)
+
+
+def test_pairs_with_divided_regions(spark, monkeypatch):
+    monkeypatch.setattr(N, "REGION", 2)
+    rows = corpus()
+    got, want = {tuple(r) for r in N.found(spark.createDataFrame(rows, SCHEMA)).collect()}, brute_force(rows)
+    assert len(got & want) >= 0.98 * len(want) and not got - want
 
 
 def test_words_and_shingles_equal_the_plain_way():
