@@ -92,7 +92,8 @@ def tokens(text: Column) -> Column:
     """Search tokens in order; a composite token is followed by its parts."""
     whole = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
     parts = lambda t: F.filter(F.regexp_extract_all(t, F.lit("[a-z0-9]+"), F.lit(0)), lambda p: p != t)
-    return F.flatten(F.transform(whole, lambda t: F.when(t.rlike("[(/-]"), F.concat(F.array(t), parts(t))).otherwise(F.array(t))))
+    composite = lambda t: t.contains("-") | t.contains("/") | t.contains("(")
+    return F.flatten(F.transform(whole, lambda t: F.when(composite(t), F.concat(F.array(t), parts(t))).otherwise(F.array(t))))
 
 
 def header(number: Column, path: Column, title: Column) -> Column:
