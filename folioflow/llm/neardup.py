@@ -1,14 +1,15 @@
 """Problem 1: near-duplicate records with small edits, by an LSH forest.
 
 Every distinct body gets ``TREES`` signature orders. A tree's signature is a list of min-hashes in levels of ``DEPTH``;
-rows are sorted by signature, and neighbours whose longest common prefix covers the first level are candidates. A region
-(equal first level) of more than ``REGION`` bodies is divided by the next levels, as many as it needs: adaptive depth. A
-large region is divided before its rows meet in a task, so a hot one is never held whole. Candidates are kept if a 128-bit
-sketch of one-bit min-hashes allows the wanted similarity, then the exact similarity of the word-shingle sets
-decides. Exact copies are one body (class) until the end, so a hot group of copies costs one signature.
+rows are sorted by signature, and rows whose longest common prefix covers the first level are candidates. All pairs of
+a region (equal first level) are compared, at any size: one of more than ``REGION`` bodies is dealt into blocks before its
+rows meet in a task, and every pair of blocks is a region of its own, so a hot one is never held whole and loses no pair.
+Candidates are kept if a 128-bit sketch of one-bit min-hashes allows the wanted similarity, then the exact similarity of
+the word-shingle sets decides. Exact copies are one body (class) until the end, so a hot group of copies costs one signature.
 
 Scale: one pass over the texts; then only fixed-size rows are shuffled (8-byte keys and sketches). Copies are grouped
 with map-side aggregation. A pair of bodies is verified once; texts are fetched only for bodies that are in some pair.
+Comparisons of sketches grow with the square of a hot region: that is the price of whole results there.
 """
 
 from __future__ import annotations
@@ -28,10 +29,12 @@ N_WORDS = 3
 MIN_WORDS = 20
 THRESHOLD = 0.7
 TREES, DEPTH, SKETCH = 12, 3, 128
-#: A region of more rows than this is divided by deeper levels of the signature.
+#: A region of more rows than this is compared in pairs of blocks of half as many.
 REGION = 32_768
-#: In a divided region, that many neighbours in sorted order are compared across the division.
+#: So many neighbours are compared by ``_in_order``, a sweep over sorted rows that ``candidates`` does not need.
 REACH = 64
+#: Pairs held before they are passed on: a family of alike bodies has nearly all pairs of its region.
+PAIRS = 1_000_000
 #: Most bits of 128 that may differ: four standard deviations above the mean at similarity 0.7 (19.2 and 4.04).
 SKETCH_BITS = 36
 BROADCAST_ROWS = 500_000
@@ -100,22 +103,29 @@ def _close(s1: np.ndarray, s2: np.ndarray, cls: np.ndarray, at: np.ndarray, step
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def _near(prefix: np.ndarray, s1: np.ndarray, s2: np.ndarray, cls: np.ndarray, reach: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _near(prefix: np.ndarray, s1: np.ndarray, s2: np.ndarray, cls: np.ndarray, reach: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of classes of equal prefix (rows sorted by it; at most ``reach`` rows apart) whose sketches are close."""
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
     at, step = np.arange(len(prefix)), 1
     while len(at) and (reach is None or step <= reach):
         at = at[at + step < len(prefix)]
         at = at[prefix[at] == prefix[at + step]]
         found.append(_close(s1, s2, cls, at, step))
+        held += len(found[-1][0])
         step += 1
-    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+        if held >= PAIRS:
+            yield np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+            found, held = [], 0
+    if held:
+        yield np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-    real = a != b  # a body may meet itself where blocks are paired
-    if real.any():
-        yield pa.RecordBatch.from_arrays([pa.array(a[real]), pa.array(b[real])], names=["cls_a", "cls_b"])
+def _pairs(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for a, b in found:
+        real = a != b  # a body may meet itself where blocks are paired
+        if real.any():
+            yield pa.RecordBatch.from_arrays([pa.array(a[real]), pa.array(b[real])], names=["cls_a", "cls_b"])
 
 
 def _candidates(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,10 +142,10 @@ def _candidates(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = int(np.searchsorted(region, region[-1], side="left"))
         done = [np.concatenate(x) for x in zip(*rest, [x[:end] for x in columns])]
         rest = [[x[end:] for x in columns]]
-        yield from _pairs(*_near(done[0], done[1].view(U), done[2].view(U), done[3]))
+        yield from _pairs(_near(done[0], done[1].view(U), done[2].view(U), done[3]))
     if rest:
         done = [np.concatenate(x) for x in zip(*rest)]
-        yield from _pairs(*_near(done[0], done[1].view(U), done[2].view(U), done[3]))
+        yield from _pairs(_near(done[0], done[1].view(U), done[2].view(U), done[3]))
 
 
 def _in_order(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +156,7 @@ def _in_order(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if rest is not None:
             columns = [np.concatenate(x) for x in zip(rest, columns)]
         if len(columns[0]):
-            yield from _pairs(*_near(columns[0], columns[1].view(U), columns[2].view(U), columns[3], REACH))
+            yield from _pairs(_near(columns[0], columns[1].view(U), columns[2].view(U), columns[3], REACH))
         rest = [x[-REACH:] for x in columns]
 
 
@@ -156,26 +166,18 @@ def _large(rows: DataFrame, column: str) -> DataFrame:
 
 
 def _divided(rows: DataFrame) -> DataFrame:
-    """region, s1, s2, cls of rows (key, tree, keys, ..) of large regions: as many levels deep as each region needs.
+    """region, s1, s2, cls of rows (key, s1, s2, cls) of regions that may be large.
 
-    Regions that are still large after all levels hold bodies of equal signatures: their rows become blocks of about
-    REGION / 2, every pair of blocks is a region, so that no pair of rows is missed and no task holds more.
+    The rows of a large region become blocks of about REGION / 2, and every pair of blocks is a region, so that no pair
+    of rows is missed and no task holds more.
     """
-    rows = cut(rows.withColumn("region", F.col("key")))
-    for level in range(1, TREES):
-        large = _large(rows, "region")
-        if large.isEmpty():
-            return rows.select("region", "s1", "s2", "cls")
-        deeper = F.xxhash64("region", F.get("keys", (F.col("tree") + level) % TREES))
-        marked = rows.join(small(large, BROADCAST_ROWS), "region", "left")
-        rows = cut(marked.withColumn("region", F.when(F.col("size").isNotNull(), deeper).otherwise(F.col("region"))).drop("size"))
-    large = _large(rows, "region").withColumn("blocks", F.ceil(F.col("size") * 2 / REGION))
-    marked = rows.join(small(large, BROADCAST_ROWS), "region", "left")
+    large = _large(rows, "key").withColumn("blocks", F.ceil(F.col("size") * 2 / REGION))
+    marked = rows.join(small(large, BROADCAST_ROWS), "key", "left")
     mine = F.pmod(F.xxhash64("cls"), F.col("blocks"))
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     met = marked.withColumn("mine", mine).withColumn("other", other)
-    pair = F.xxhash64("region", F.least("mine", "other"), F.greatest("mine", "other"))
-    return met.select(F.when(F.col("blocks").isNull(), F.col("region")).otherwise(pair).alias("region"), "s1", "s2", "cls")
+    pair = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
+    return met.select(F.when(F.col("blocks").isNull(), F.col("key")).otherwise(pair).alias("region"), "s1", "s2", "cls")
 
 
 def _hot(known: DataFrame) -> DataFrame:
@@ -190,20 +192,13 @@ def candidates(known: DataFrame) -> DataFrame:
     hot = _hot(known)
     divided = not hot.isEmpty()
     bodies = cut(bodies) if divided else bodies
-    trees = bodies.select("cls", "s1", "s2", F.posexplode("keys").alias("tree", "key"), *(["keys"] if divided else []))
+    trees = bodies.select("cls", "s1", "s2", F.explode("keys").alias("key"))
     plain = trees.select(F.col("key").alias("region"), "s1", "s2", "cls")
     if divided:
         hot = small(hot, BROADCAST_ROWS)
         cold = trees.join(hot, "key", "left_anti").select(F.col("key").alias("region"), "s1", "s2", "cls")
-        warm = cut(trees.join(hot, "key", "left_semi"))
-        plain = cold.unionByName(_divided(warm))
+        plain = cold.unionByName(_divided(cut(trees.join(hot, "key", "left_semi"))))
     found = plain.repartition("region").sortWithinPartitions("region").mapInArrow(_candidates, schema)
-    if divided:
-        large = small(_large(warm, "key").select("key"), BROADCAST_ROWS)
-        d1, d2 = (F.get("keys", (F.col("tree") + k) % TREES) for k in (1, 2))
-        order = warm.join(large, "key", "left_semi").select("key", d1.alias("d1"), d2.alias("d2"), "s1", "s2", "cls")
-        order = order.repartitionByRange("key", "d1", "d2", "cls").sortWithinPartitions("key", "d1", "d2", "cls")
-        found = found.unionByName(order.mapInArrow(_in_order, schema))
     return found.distinct()
 
 

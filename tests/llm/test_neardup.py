@@ -108,6 +108,24 @@ def test_pairs_with_divided_regions(spark, monkeypatch):
     assert len(got & want) >= 0.98 * len(want) and not got - want
 
 
+def test_a_family_of_one_template_loses_no_pair_when_divided(spark, monkeypatch):
+    """More bodies than a region holds, of similarities on both sides of the threshold: undivided and divided are the same."""
+    rng = random.Random(11)
+    template = [f"t{i}" for i in range(60)]
+    rows = []
+    for i in range(300):
+        edited = list(template)
+        for _ in range(3):
+            edited[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        rows.append((f"c{i:03}", f"d{i}", " ".join(edited)))
+    known = N.features(spark.createDataFrame(rows, SCHEMA)).cache()
+    whole = {tuple(r) for r in N.candidates(known).collect()}
+    monkeypatch.setattr(N, "REGION", 32)
+    monkeypatch.setattr(N, "PAIRS", 10)
+    divided = [tuple(r) for r in N.candidates(known).collect()]
+    assert len(whole) > 10_000 and len(divided) == len(whole) and set(divided) == whole
+
+
 def test_words_and_shingles_equal_the_plain_way():
     texts = ["Über Größe 12-ab", "", "a", "x y z x y z", "​K 1", "word " * 5]
     word, first = S.words([t.lower().encode() for t in texts])
