@@ -1,6 +1,7 @@
 """Problem 3: text that looks the same in different characters, by grouping under an accent-sensitive collation in SQL.
 
-Characters that look alike are mapped to one form with ``translate``: full-width forms, blanks of other widths, hyphens,
+Characters that look alike are mapped to one form with ``translate``, after composed look-alikes and composed signs are
+taken apart, so that the stored composition does not matter: full-width forms, blanks of other widths, hyphens,
 letters of other scripts; characters that do not show are dropped. The mapped values are compared under the collation
 ``UNICODE`` (case- and accent-sensitive), under which composed and decomposed accents are equal. Each class takes as its
 canonical member the smallest stored text, by code point, and every page gets it by a join.
@@ -12,6 +13,8 @@ and texts whose hash is alone are their own class without a shuffle of their tex
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +34,13 @@ BLANKS = [0x00A0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
 HYPHENS = [0x2010, 0x2011, 0xFE63]
 UNSEEN = [0x00AD, 0x034F, 0x061C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10), 0xFEFF]
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬆ": "st"}
+#: Composed characters whose base is a look-alike or an ASCII sign, with their decompositions; all lie in COMPOSED_RANGES.
+COMPOSED = {
+    chr(c): apart for c in range(0x80, 0x2300)
+    if (apart := unicodedata.normalize("NFD", chr(c))) != chr(c) and (apart[0] in LOOKALIKES or "!" <= apart[0] <= "~" and not apart[0].isalpha())
+}
+#: Few ranges are tried on every text: a class of all the single characters costs Java a test of each one for each letter.
+COMPOSED_RANGES = "[\u037e-\u045e\u04d0-\u04f3\u1f08-\u1fff\u2260-\u226f]"
 
 BROADCAST_ROWS = 500_000
 
@@ -45,6 +55,9 @@ def _mapping() -> tuple[str, str]:
 
 def mapped(text: Column) -> Column:
     """The text with look-alike characters in one form, as a plain string; null stays null."""
+    pairs = F.array(*(F.struct(F.lit(one).alias("one"), F.lit(apart).alias("apart")) for one, apart in COMPOSED.items()))
+    apart = F.aggregate(pairs, text, lambda x, pair: F.replace(x, pair["one"], pair["apart"]))
+    text = F.when(text.rlike(COMPOSED_RANGES) & text.rlike(f"[{''.join(COMPOSED)}]"), apart).otherwise(text)
     for ligature, letters in LIGATURES.items():
         text = F.replace(text, F.lit(ligature), F.lit(letters))
     return F.translate(text, *_mapping())

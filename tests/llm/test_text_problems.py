@@ -37,6 +37,18 @@ def test_same_look(spark):
     assert lookalike.found(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_composition_of_signs_and_lookalikes_does_not_show(spark):
+    """A composed sign equals its decomposed form, and a composed letter of another script its parts and the Latin one."""
+    assert all(re.match(lookalike.COMPOSED_RANGES, x) for x in lookalike.COMPOSED)
+    groups = [
+        ["a \u2260 b", "a =\u0338 b"], ["a = b"], ["a \u226e b", "a <\u0338 b"], ["a \u226f b", "a >\u0338 b"], ["why\u037e", "why;"],
+        ["\u0451l", "\u0435\u0308l", "\u00ebl", "e\u0308l"], ["el", "\u0435l"], ["na\u0457ve", "na\u0456\u0308ve", "na\u00efve"], ["\u03cc", "\u03bf\u0301", "\u00f3"],
+    ]
+    df = spark.createDataFrame([(10 * g + k, text) for g, members in enumerate(groups) for k, text in enumerate(members)], PAGES)
+    want = {(10 * g + i, 10 * g + j) for g, m in enumerate(groups) for j in range(len(m)) for i in range(j)}
+    assert {tuple(r) for r in lookalike.found(df).collect()} == want
+
+
 def test_copies_are_no_pairs(spark):
     rows = [(i, "same text 1") for i in range(50)] + [(99, "same text 1")]
     got = {tuple(r) for r in lookalike.found(spark.createDataFrame(rows, PAGES)).collect()}
