@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The most that :func:`small` broadcasts, by default.
+BROADCAST_BYTES = 64 << 20
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: the session's ``spark.checkpoint.dir``, which all executors share.
 
@@ -31,9 +35,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows; else unchanged, to be shuffled.
+def small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its rows have at most ``max_bytes``; else unchanged, to be shuffled.
 
-    ``df`` should come from :func:`cut` or a narrow scan since it is counted. The count stops after the limit.
+    ``df`` should come from :func:`cut` or a narrow scan: its rows are counted and measured, strings and binaries by their
+    lengths, other values by eight bytes each.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    size = F.lit(8 * len(df.columns))
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(F.col(name)), F.lit(0))
+        elif kind.startswith(("array", "map")):
+            size = size + 8 * F.coalesce(F.size(F.col(name)), F.lit(0))
+    total = df.agg(F.sum(size.cast("long"))).first()[0]
+    return F.broadcast(df) if (total or 0) <= max_bytes else df
