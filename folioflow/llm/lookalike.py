@@ -42,7 +42,6 @@ COMPOSED = {
 #: Few ranges are tried on every text: a class of all the single characters costs Java a test of each one for each letter.
 COMPOSED_RANGES = "[\u037e-\u045e\u04d0-\u04f3\u1f08-\u1fff\u2260-\u226f]"
 
-BROADCAST_ROWS = 500_000
 
 
 def _mapping() -> tuple[str, str]:
@@ -84,7 +83,7 @@ def classes(pages: DataFrame) -> DataFrame:
     shared = cut(
         keyed.groupBy("key").agg(F.min("page_id").alias("low"), F.max("page_id").alias("high")).where("low <> high").select("key")
     )
-    once = cut(keyed.join(small(shared, BROADCAST_ROWS), "key", "left_semi").groupBy("page_id").agg(F.min("raw_text").alias("raw_text")))
+    once = cut(keyed.join(small(shared), "key", "left_semi").groupBy("page_id").agg(F.min("raw_text").alias("raw_text")))
     looks = once.withColumn("look", same_look(F.col("raw_text")))
     named = looks.groupBy("look").agg(F.min("page_id").alias("class_id"), F.max("page_id").alias("last"), F.min("raw_text").alias("canonical"))
     named = named.where("class_id <> last").drop("last")

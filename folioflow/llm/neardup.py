@@ -37,7 +37,6 @@ REACH = 64
 PAIRS = 1_000_000
 #: Most bits of 128 that may differ: four standard deviations above the mean at similarity 0.7 (19.2 and 4.04).
 SKETCH_BITS = 36
-BROADCAST_ROWS = 500_000
 
 _SEEDS = S.mix(np.arange(1, 2 * SKETCH + 1, dtype=U))
 _XOR, _MULTIPLY = _SEEDS[:SKETCH], _SEEDS[SKETCH:] | U(1)
@@ -172,7 +171,7 @@ def _divided(rows: DataFrame) -> DataFrame:
     of rows is missed and no task holds more.
     """
     large = _large(rows, "key").withColumn("blocks", F.ceil(F.col("size") * 2 / REGION))
-    marked = rows.join(small(large, BROADCAST_ROWS), "key", "left")
+    marked = rows.join(small(large), "key", "left")
     mine = F.pmod(F.xxhash64("cls"), F.col("blocks"))
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     met = marked.withColumn("mine", mine).withColumn("other", other)
@@ -195,7 +194,7 @@ def candidates(known: DataFrame) -> DataFrame:
     trees = bodies.select("cls", "s1", "s2", F.explode("keys").alias("key"))
     plain = trees.select(F.col("key").alias("region"), "s1", "s2", "cls")
     if divided:
-        hot = small(hot, BROADCAST_ROWS)
+        hot = small(hot)
         cold = trees.join(hot, "key", "left_anti").select(F.col("key").alias("region"), "s1", "s2", "cls")
         plain = cold.unionByName(_divided(cut(trees.join(hot, "key", "left_semi"))))
     found = plain.repartition("region").sortWithinPartitions("region").mapInArrow(_candidates, schema)
@@ -227,10 +226,10 @@ def near_duplicates(chunks: DataFrame, threshold: float = THRESHOLD) -> tuple[Da
     members = known.select("chunk_id", "doc_id", "cls").distinct()
     pairs = cut(candidates(known))
     ends = pairs.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
-    wanted = cut(known.join(small(ends, BROADCAST_ROWS), "cls", "left_semi").groupBy("cls").agg(F.min("chunk_id").alias("chunk_id")))
+    wanted = cut(known.join(small(ends), "cls", "left_semi").groupBy("cls").agg(F.min("chunk_id").alias("chunk_id")))
     texts = (
         chunks.where("text is not null").select("chunk_id", body(F.col("text")).alias("body"))
-        .join(small(wanted, BROADCAST_ROWS), "chunk_id").groupBy("cls").agg(F.min("body").alias("body"))
+        .join(small(wanted), "chunk_id").groupBy("cls").agg(F.min("body").alias("body"))
     )
     texts = cut(texts)
     both = (

@@ -41,6 +41,15 @@ c AS (SELECT * FROM k WHERE length(regexp_replace(form, '[^a-z]', '', 'g')) >= 1
 h AS (SELECT source, form FROM c JOIN n USING (source) GROUP BY 1, 2, docs HAVING count(DISTINCT doc_id) >= 3 AND count(DISTINCT doc_id) * 10 >= docs)
 SELECT page_id, line_no FROM c JOIN h USING (source, form)"""
 
+P4_PAGES = f"""
+WITH gone AS ({P4.strip()}),
+once AS (SELECT page_id, min(text) AS text FROM pages GROUP BY 1),
+every AS (SELECT page_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM once WHERE text IS NOT NULL),
+kept AS (SELECT page_id, string_agg(line, chr(10) ORDER BY e.line_no) AS text FROM every e ANTI JOIN gone g USING (page_id, line_no) GROUP BY 1),
+n AS (SELECT page_id, CAST(count(*) AS INT) AS n_removed FROM gone GROUP BY 1)
+SELECT page_id, CASE WHEN once.text IS NOT NULL THEN coalesce(kept.text, '') END AS text, coalesce(n_removed, 0) AS n_removed
+FROM once LEFT JOIN kept USING (page_id) LEFT JOIN n USING (page_id)"""
+
 P5 = r"""
 SELECT DISTINCT chunk_id FROM chunks
 WHERE len(regexp_extract_all(text, '[^ \t\r\n]+')) > 1000 AND NOT coalesce(starts_with(chunk_type, 'table'), false)"""
@@ -55,4 +64,4 @@ d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM docu
 dk AS (SELECT doc_id, size, w, unnest(range(1, len(w) - size + 2)) AS pos FROM d, sizes WHERE len(w) >= size)
 SELECT DISTINCT doc_id, item_id FROM dk JOIN keys ON keys.size = dk.size AND keys.k = array_to_string(list_slice(w, pos, pos + dk.size - 1), ' ')"""
 
-ORACLES = {"p1_found": P1, "p3_found": P3, "p4_found": P4, "p5_found": P5, "p7_found": P7}
+ORACLES = {"p1_found": P1, "p3_found": P3, "p4_found": P4, "p4_pages": P4_PAGES, "p5_found": P5, "p7_found": P7}

@@ -7,12 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow.llm import boilerplate, encode, leaks, lookalike, split
-from folioflow.llm.oracles import P3, P4, P5, P7
+from folioflow.llm.oracles import P3, P4, P4_PAGES, P5, P7
 from folioflow.llm.queries import QUERIES
 from tests.oracle import compare
 
 
-@pytest.mark.parametrize(("name", "sql"), [("p3_found", P3), ("p4_found", P4), ("p5_found", P5), ("p7_found", P7)])
+@pytest.mark.parametrize(("name", "sql"), [("p3_found", P3), ("p4_found", P4), ("p4_pages", P4_PAGES), ("p5_found", P5), ("p7_found", P7)])
 def test_query_equals_sql(spark, data, name, sql):
     compare(spark, data, QUERIES[name], sql)
 
@@ -81,6 +81,12 @@ def test_repeated_lines(spark):
     assert got == want and len(want) > 60
     clean = {r.page_id: r for r in boilerplate.cleaned(spark.createDataFrame(pages, TEXTS), spark.createDataFrame(files, FILES)).collect()}
     assert len(clean) == 64 and clean[101].text is None and clean[0].n_removed == 1 and "RIGHTS" not in clean[0].text and "unique" in clean[0].text
+    known = boilerplate.documents(spark.createDataFrame(files, FILES))
+    every = boilerplate.lines(spark.createDataFrame(pages, TEXTS), known).cache()
+    united = boilerplate.frequent(boilerplate.bitmaps(every), known).cache()
+    cleared = F.when(F.col("form") != every.where("page_id = 0").join(united, boilerplate.FORM, "left_semi").first().form, F.col("bits")).otherwise(0)
+    emptied = {tuple(r) for r in boilerplate.marked(every, united.withColumn("bits", cleared)).collect()}
+    assert {tuple(r) for r in boilerplate.marked(every, united).collect()} == want and emptied < want and not {x for x in emptied if x[0] == 0}
     empty = boilerplate.removed_lines(spark.createDataFrame([], TEXTS), spark.createDataFrame([], FILES))
     assert empty.count() == 0
 
