@@ -1,15 +1,21 @@
 """Problem 1: near-duplicate records with small edits, by an LSH forest.
 
-Every distinct body gets ``TREES`` signature orders. A tree's signature is a list of min-hashes in levels of ``DEPTH``;
-rows are sorted by signature, and rows whose longest common prefix covers the first level are candidates. All pairs of
-a region (equal first level) are compared, at any size: one of more than ``REGION`` bodies is dealt into blocks before its
-rows meet in a task, and every pair of blocks is a region of its own, so a hot one is never held whole and loses no pair.
+Every distinct body gets ``TREES`` signatures, each a path in a prefix tree: the min-hashes of its levels, shortened to
+``LEVEL_BITS`` and packed into one 64-bit key, so that the order of the keys is the sorted order of signatures and the
+longest common prefix of two keys is read off their leading bits. In each tree rows are sorted by key, and neighbours in
+that order are candidates as far as they share a prefix of the region's depth. The depth adapts in every region: where at
+most ``SPARSE`` rows share two levels, these are enough (a pair at similarity 0.7 then shares one of the 12 prefixes with
+probability 0.9997); a denser region goes down to three levels (0.993; at 0.75 it is 0.998). No pair that shares a
+region's prefix is left out, however large the region is, and neighbours with the longest prefix are met first.
+
 Candidates are kept if a 128-bit sketch of one-bit min-hashes allows the wanted similarity, then the exact similarity of
 the word-shingle sets decides. Exact copies are one body (class) until the end, so a hot group of copies costs one signature.
 
 Scale: one pass over the texts; then only fixed-size rows are shuffled (8-byte keys and sketches). Copies are grouped
 with map-side aggregation. A pair of bodies is verified once; texts are fetched only for bodies that are in some pair.
-Comparisons of sketches grow with the square of a hot region: that is the price of whole results there.
+``REGION`` is about memory only: a region of more rows is parted by its third level before its rows meet in a task, and one
+that is still larger is dealt into blocks, of which every pair is a region of its own. Comparisons of sketches grow with
+the square of such a region: that is the price of whole results there.
 """
 
 from __future__ import annotations
@@ -28,11 +34,15 @@ U = np.uint64
 N_WORDS = 3
 MIN_WORDS = 20
 THRESHOLD = 0.7
-TREES, DEPTH, SKETCH = 12, 3, 128
-#: A region of more rows than this is compared in pairs of blocks of half as many.
-REGION = 32_768
-#: So many neighbours are compared by ``_in_order``, a sweep over sorted rows that ``candidates`` does not need.
-REACH = 64
+TREES, SKETCH = 12, 128
+#: Bits of each level's min-hash in a key: five levels, the first two are half of it.
+LEVEL_BITS = (16, 16, 12, 10, 10)
+#: Bits of a key below its first two and its first three levels.
+TWO, THREE = sum(LEVEL_BITS[2:]), sum(LEVEL_BITS[3:])
+#: Rows that may share two levels without going down to the third.
+SPARSE = 64
+#: A region of more rows is parted before they meet in a task.
+REGION = 16_384
 #: Pairs held before they are passed on: a family of alike bodies has nearly all pairs of its region.
 PAIRS = 1_000_000
 #: Most bits of 128 that may differ: four standard deviations above the mean at similarity 0.7 (19.2 and 4.04).
@@ -66,9 +76,9 @@ def _features(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 mins[k] = np.minimum.reduceat((shingle ^ _XOR[k]) * _MULTIPLY[k], begin[:-1])
             keys = np.empty((len(enough), TREES), dtype=U)
             for t in range(TREES):
-                key = np.full(len(enough), t + 1, dtype=U)
-                for k in range(DEPTH * t, DEPTH * t + DEPTH):
-                    key = S.mix(key * U(0xD6E8FEB86659FD93) + mins[k])
+                key = np.zeros(len(enough), dtype=U)
+                for k, width in enumerate(LEVEL_BITS, len(LEVEL_BITS) * t):
+                    key = key << U(width) | S.mix(mins[k] + U(t)) >> U(64 - width)
                 keys[:, t] = key
             bits = (S.mix(mins) >> U(13)) & U(1)
             sketch = [(bits[64 * h : 64 * h + 64] << np.arange(64, dtype=U)[:, None]).sum(axis=0, dtype=U) for h in (0, 1)]
@@ -102,12 +112,27 @@ def _close(s1: np.ndarray, s2: np.ndarray, cls: np.ndarray, at: np.ndarray, step
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def _near(prefix: np.ndarray, s1: np.ndarray, s2: np.ndarray, cls: np.ndarray, reach: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of classes of equal prefix (rows sorted by it; at most ``reach`` rows apart) whose sketches are close."""
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before it in some column."""
+    change = np.ones(len(columns[0]), dtype=bool)
+    change[1:] = np.any([x[1:] != x[:-1] for x in columns], axis=0)
+    return change
+
+
+def _prefixes(region: np.ndarray, key: np.ndarray, few: int) -> np.ndarray:
+    """A number for each row's prefix, of keys in order: two levels where the region is sparse, else three."""
+    edges = np.append(np.flatnonzero(_starts(region, key >> TWO)), len(key))
+    rows = np.diff(edges)
+    sparse = np.repeat(rows, rows) <= few
+    return np.cumsum(_starts(region, np.where(sparse, key >> TWO << TWO, key >> THREE << THREE), sparse))
+
+
+def _near(prefix: np.ndarray, s1: np.ndarray, s2: np.ndarray, cls: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of classes of equal prefix whose sketches are close, of rows in order: next neighbours first, given out as found."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
     held = 0
     at, step = np.arange(len(prefix)), 1
-    while len(at) and (reach is None or step <= reach):
+    while len(at):
         at = at[at + step < len(prefix)]
         at = at[prefix[at] == prefix[at + step]]
         found.append(_close(s1, s2, cls, at, step))
@@ -127,77 +152,72 @@ def _pairs(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(a[real]), pa.array(b[real])], names=["cls_a", "cls_b"])
 
 
-def _candidates(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads rows sorted by region; the last region of a batch waits for the next batch, so at most one is held."""
-    rest: list[list[np.ndarray]] = []
-    for batch in rows:
-        columns = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
-        region = columns[0]
-        if not len(region):
-            continue
-        if rest and region[-1] == rest[0][0][0]:
-            rest.append(columns)
-            continue
-        end = int(np.searchsorted(region, region[-1], side="left"))
-        done = [np.concatenate(x) for x in zip(*rest, [x[:end] for x in columns])]
-        rest = [[x[end:] for x in columns]]
-        yield from _pairs(_near(done[0], done[1].view(U), done[2].view(U), done[3]))
-    if rest:
-        done = [np.concatenate(x) for x in zip(*rest)]
-        yield from _pairs(_near(done[0], done[1].view(U), done[2].view(U), done[3]))
-
-
-def _in_order(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Neighbours in sorted order with a common first level; the last REACH rows of a batch meet the next batch again."""
-    rest: list[np.ndarray] | None = None
-    for batch in rows:
-        columns = [batch.column(x).to_numpy(zero_copy_only=False) for x in ("key", "s1", "s2", "cls")]
-        if rest is not None:
-            columns = [np.concatenate(x) for x in zip(rest, columns)]
-        if len(columns[0]):
-            yield from _pairs(_near(columns[0], columns[1].view(U), columns[2].view(U), columns[3], REACH))
-        rest = [x[-REACH:] for x in columns]
+def _candidates(sparse: int):
+    """Reads rows in the order of regions and keys; the last region of a batch waits for the next batch, so that at most one is held.
+
+    A region has a number of its own where rows have one, else it is the first two levels of the key.
+    """
+
+    def done(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        region, key, s1, s2, cls = (np.concatenate(x) for x in zip(*parts))
+        yield from _pairs(_near(_prefixes(region, key, sparse), s1.view(U), s2.view(U), cls))
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[list[np.ndarray]] = []
+        for batch in rows:
+            key, s1, s2, cls = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("key", "s1", "s2", "cls"))
+            region = batch.column("region").to_numpy(zero_copy_only=False) if "region" in batch.schema.names else key >> TWO
+            if not len(key):
+                continue
+            columns = [region, key, s1, s2, cls]
+            if rest and region[-1] == rest[0][0][0]:
+                rest.append(columns)
+                continue
+            end = int(np.argmax(region == region[-1]))
+            if end or rest:
+                yield from done([*rest, [x[:end] for x in columns]])
+            rest = [[x[end:] for x in columns]]
+        if rest:
+            yield from done(rest)
+
+    return run
 
 
-def _large(rows: DataFrame, column: str) -> DataFrame:
-    """The regions of more than REGION rows with their sizes (map-side aggregated)."""
-    return cut(rows.groupBy(column).agg(F.count("*").alias("size")).where(F.col("size") > REGION))
+def _large(rows: DataFrame, bits: int) -> DataFrame:
+    """The regions (keys without their last ``bits``) of more than REGION rows, with their sizes (map-side aggregated)."""
+    region = F.shiftright("key", bits).alias("region")
+    return cut(rows.groupBy(region).agg(F.count("*").alias("size")).where(F.col("size") > REGION))
 
 
 def _divided(rows: DataFrame) -> DataFrame:
-    """region, s1, s2, cls of rows (key, s1, s2, cls) of regions that may be large.
+    """region, key, s1, s2, cls of rows (key, s1, s2, cls) of regions too large for a task, each parted by the third level.
 
-    The rows of a large region become blocks of about REGION / 2, and every pair of blocks is a region, so that no pair
-    of rows is missed and no task holds more.
+    The rows of one that is still too large become blocks of about REGION / 2, and every pair of blocks is a region, so
+    that no pair of rows is missed and no task holds more.
     """
-    large = _large(rows, "key").withColumn("blocks", F.ceil(F.col("size") * 2 / REGION))
-    marked = rows.join(small(large), "key", "left")
+    large = _large(rows, THREE).withColumn("blocks", F.ceil(F.col("size") * 2 / REGION))
+    marked = rows.withColumn("region", F.shiftright("key", THREE)).join(small(large), "region", "left")
     mine = F.pmod(F.xxhash64("cls"), F.col("blocks"))
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     met = marked.withColumn("mine", mine).withColumn("other", other)
-    pair = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
-    return met.select(F.when(F.col("blocks").isNull(), F.col("key")).otherwise(pair).alias("region"), "s1", "s2", "cls")
-
-
-def _hot(known: DataFrame) -> DataFrame:
-    """The first-level keys that more than REGION rows (copies included) share: the only regions that can be too large."""
-    return _large(known.select(F.explode("keys").alias("key")), "key").select("key")
+    pair = F.xxhash64("region", F.least("mine", "other"), F.greatest("mine", "other"))
+    return met.select(F.when(F.col("blocks").isNull(), F.col("region")).otherwise(pair).alias("region"), "key", "s1", "s2", "cls")
 
 
 def candidates(known: DataFrame) -> DataFrame:
-    """Distinct pairs (cls_a < cls_b) of bodies of ``known`` (cls, keys, s1, s2) that are close in some tree and by sketch."""
+    """Distinct pairs (cls_a < cls_b) of bodies of ``known`` (cls, keys, s1, s2) that are neighbours in some tree and close by sketch."""
     bodies = known.groupBy("cls").agg(*(F.first(x).alias(x) for x in ("keys", "s1", "s2")))
     schema = "cls_a long, cls_b long"
-    hot = _hot(known)
+    hot = _large(known.select(F.explode("keys").alias("key")), TWO).select("region")  # copies included: no smaller than of bodies
     divided = not hot.isEmpty()
     bodies = cut(bodies) if divided else bodies
     trees = bodies.select("cls", "s1", "s2", F.explode("keys").alias("key"))
-    plain = trees.select(F.col("key").alias("region"), "s1", "s2", "cls")
+    region = F.shiftright("key", TWO)
+    cold = trees.join(small(hot), region == hot["region"], "left_anti") if divided else trees
+    found = cold.repartition(region).sortWithinPartitions("key").select("key", "s1", "s2", "cls").mapInArrow(_candidates(SPARSE), schema)
     if divided:
-        hot = small(hot)
-        cold = trees.join(hot, "key", "left_anti").select(F.col("key").alias("region"), "s1", "s2", "cls")
-        plain = cold.unionByName(_divided(cut(trees.join(hot, "key", "left_semi"))))
-    found = plain.repartition("region").sortWithinPartitions("region").mapInArrow(_candidates, schema)
+        parts = _divided(cut(trees.join(small(hot), region == hot["region"], "left_semi")))
+        found = found.unionByName(parts.repartition("region").sortWithinPartitions("region", "key").mapInArrow(_candidates(SPARSE), schema))
     return found.distinct()
 
 

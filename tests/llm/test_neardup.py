@@ -69,40 +69,74 @@ def test_empty(spark):
     assert N.found(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_sorted_neighbours_across_batches():
-    n = 100
-    keys = np.repeat([1, 2], n // 2)
-    batch = pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(np.zeros(n, np.int64))] * 2, pa.array(np.arange(n))], names=["key", "s1", "s2", "cls"])
-    got = {pair for out in N._in_order(iter([batch.slice(0, 30), batch.slice(30, 50), batch.slice(80)])) for pair in zip(*(x.to_pylist() for x in out.columns))}
-    assert got == {(i, j) for i in range(n) for j in range(i + 1, n) if keys[i] == keys[j] and j - i <= N.REACH}
-
-
-def test_regions_across_batches():
-    region = np.repeat([3, 5, 9, 11], [2, 40, 1, 17])
-    n = len(region)
-    batch = pa.RecordBatch.from_arrays([pa.array(region), *[pa.array(np.zeros(n, np.int64))] * 2, pa.array(np.arange(n))], names=["region", "s1", "s2", "cls"])
-    got = [pair for out in N._candidates(batch.slice(k, 7) for k in range(0, n, 7)) for pair in zip(*(x.to_pylist() for x in out.columns))]
-    assert sorted(got) == [(i, j) for i in range(n) for j in range(i + 1, n) if region[i] == region[j]]
-
-
-def test_hot_regions_are_divided_and_lose_no_pair_of_equal_signatures(spark, monkeypatch):
-    """A third of the bodies with one signature stays in blocks of pairs; a region of other depth is divided by its levels."""
+def _batch(keys, **more):
+    n = len(keys)
+    columns = {"key": keys, "s1": np.zeros(n, np.int64), "s2": np.zeros(n, np.int64), "cls": np.arange(n)} | more
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], names=list(columns))
+
+
+def _met(batches):
+    return sorted(pair for out in N._candidates(N.SPARSE)(iter(batches)) for pair in zip(*(x.to_pylist() for x in out.columns)))
+
+
+def test_depth_adapts_in_each_region_also_across_batches():
+    """Two levels where 64 rows or fewer share them, three in a denser region; also with a region's number."""
+    n = [2, 64, 65, 90, 1]
+    two = np.repeat([-3, 5, 9, 11, 2**31 - 1], n)
+    third = np.concatenate([np.sort(np.random.default_rng(k).integers(0, 4, k)) for k in n])
+    keys = (two << N.TWO) + (third << N.THREE) + np.arange(len(two)) % 7
+    keys = np.sort(keys)
+    dense = {9, 11}
+    depth = lambda k: (k >> N.TWO, k >> N.THREE if k >> N.TWO in dense else None)
+    want = sorted((i, j) for i in range(len(keys)) for j in range(i + 1, len(keys)) if depth(keys[i]) == depth(keys[j]))
+    for size in (7, 50, 1000):
+        batches = [_batch(keys[k : k + size], cls=np.arange(len(keys))[k : k + size]) for k in range(0, len(keys), size)]
+        assert _met(batches) == want
+    assert _met([_batch(keys, region=keys >> N.THREE)]) == sorted((i, j) for i in range(len(keys)) for j in range(i + 1, len(keys)) if keys[i] >> N.THREE == keys[j] >> N.THREE)
+
+
+def test_hot_regions_are_divided_and_lose_no_pair_of_equal_prefix(spark, monkeypatch):
+    """A third of the bodies with one signature stays in blocks of pairs; regions that part at the third level are parted there."""
     monkeypatch.setattr(N, "REGION", 16)
+    monkeypatch.setattr(N, "SPARSE", 4)
     rng = random.Random(3)
-    same = [rng.getrandbits(40) for _ in range(N.TREES)]
+    same = [rng.getrandbits(63) for _ in range(N.TREES)]
     rows = [(i, same, 0, 0) for i in range(60)]
-    rows += [(100 + i, [7, *(i // 3 * 100 + t for t in range(1, N.TREES))], 1, 1) for i in range(60)]
-    rows += [(200 + i, [rng.getrandbits(40) for _ in range(N.TREES)], 2, 2) for i in range(60)]
+    rows += [(100 + i, [(7 << N.TWO) + (i // 3 << N.THREE) + i % 2, *(rng.getrandbits(63) for _ in range(1, N.TREES))], 1, 1) for i in range(60)]
+    rows += [(200 + i, [rng.getrandbits(63) for _ in range(N.TREES)], 2, 2) for i in range(60)]
     known = spark.createDataFrame(rows + rows[:50], "cls long, keys array<long>, s1 long, s2 long")
     got = [tuple(r) for r in N.candidates(known).collect()]
-    assert len(got) == len(set(got)) and all(a < b for a, b in got)
-    assert {(a, b) for a, b in got if b < 60} == {(a, b) for a in range(60) for b in range(a + 1, 60)}
-    assert {(100 + i, 100 + j) for i in range(60) for j in range(i + 1, 60) if i // 3 == j // 3} <= set(got)
-    assert all(b < 60 or 100 <= a < b < 160 for a, b in got)
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60)} | {(100 + i, 100 + j) for i in range(60) for j in range(i + 1, 60) if i // 3 == j // 3}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_recall_by_similarity_with_regions_divided(spark, monkeypatch):
+    """Edited copies of one template each: of the pairs at 0.7 to 0.75, 0.75 to 0.8 and above nearly all are candidates."""
+    monkeypatch.setattr(N, "REGION", 8)
+    monkeypatch.setattr(N, "SPARSE", 2)
+    rng = random.Random(21)
+    rows = []
+    for i in range(120):
+        base = [f"b{i}x{rng.randrange(10**6)}" for _ in range(80)]
+        for k in range(8):
+            edited = list(base)
+            for _ in range(rng.randint(0, 5)):
+                edited[rng.randrange(80)] = f"e{rng.randrange(10**6)}"
+            rows.append((f"c{i:03}-{k}", f"d{k}", " ".join(edited)))
+    sets = {key: {tuple(t.split()[i : i + 3]) for i in range(78)} for key, _, t in rows}
+    got = {tuple(r) for r in N.found(spark.createDataFrame(rows, SCHEMA)).collect()}
+    bands = {}
+    keys = sorted(sets)
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            if a[:4] == b[:4] and (value := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= 0.7:
+                bands.setdefault(min(int(value * 20), 16), []).append((a, b) in got)
+    assert set(bands) == {14, 15, 16} and all(len(x) > 100 and sum(x) >= 0.98 * len(x) for x in bands.values())
 
 
 def test_pairs_with_divided_regions(spark, monkeypatch):
     monkeypatch.setattr(N, "REGION", 2)
+    monkeypatch.setattr(N, "SPARSE", 1)
     rows = corpus()
     got, want = {tuple(r) for r in N.found(spark.createDataFrame(rows, SCHEMA)).collect()}, brute_force(rows)
     assert len(got & want) >= 0.98 * len(want) and not got - want
@@ -119,9 +153,9 @@ def test_a_family_of_one_template_loses_no_pair_when_divided(spark, monkeypatch)
             edited[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
         rows.append((f"c{i:03}", f"d{i}", " ".join(edited)))
     known = N.features(spark.createDataFrame(rows, SCHEMA)).cache()
+    monkeypatch.setattr(N, "SPARSE", 1)
     whole = {tuple(r) for r in N.candidates(known).collect()}
     monkeypatch.setattr(N, "REGION", 32)
-    monkeypatch.setattr(N, "PAIRS", 10)
     divided = [tuple(r) for r in N.candidates(known).collect()]
     assert len(whole) > 10_000 and len(divided) == len(whole) and set(divided) == whole
 
