@@ -158,7 +158,7 @@ def test_leaks(spark):
     it = spark.createDataFrame(items, "item_id long, question string, passage string").withColumn("text", F.lit("clash"))
     assert {tuple(r) for r in leaks.found(df, it).collect()} == {(1, 1), (3, 2), (5, 3), (8, 1)}
     row = leaks.leaks(df, it).where("doc_id = 8").first()
-    assert (row.part, row.similarity, row.exact, row.n_windows) == ("question", 1.0, True, 29)
+    assert (row.part, row.similarity, row.exact, row.n_windows) == ("question", 1.0, True, 29 + 13)  # shifted windows of 24 words are alike too
     assert leaks.found(df.limit(0), it).count() == 0 and leaks.found(df, it.limit(0)).count() == 0
 
 
@@ -166,21 +166,46 @@ def test_leaks_in_blocks_of_items(spark, data, monkeypatch):
     from folioflow.sources.tables import table
 
     args = table(spark, data, "documents"), table(spark, data, "eval_items")
-    want = {tuple(r) for r in leaks.found(*args).collect()}
+    want = {tuple(r) for r in leaks.leaks(*args).collect()}
     monkeypatch.setattr(leaks, "WINDOWS", 4000)
-    assert {tuple(r) for r in leaks.found(*args).collect()} == want
+    assert {tuple(r) for r in leaks.leaks(*args).collect()} == want
+
+
+def test_edited_passages_are_found(spark):
+    """Of passages planted with one edit (from 50 words on) or two (from 100 on), 0.9 are found."""
+    rng = random.Random(17)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items, documents, planted = [], [], {}
+    for i in range(240):
+        words = text(rng.choice([30, 50, 64, 80]) if i % 2 else rng.choice([100, 125, 150]))
+        items.append((i, None, " ".join(words)))
+        for edits in (1, 2):
+            leak = list(words)
+            for _ in range(edits):
+                leak[rng.randrange(len(leak))] = rng.choice(vocabulary)
+            planted[10 * i + edits] = (i, edits, len(words))
+            documents.append((10 * i + edits, " ".join(text(rng.randrange(60)) + leak + text(40))))
+    it = spark.createDataFrame(items, "item_id long, question string, passage string")
+    got = {(r.doc_id, r.item_id) for r in leaks.leaks(spark.createDataFrame(documents, "doc_id long, text string"), it).collect()}
+    assert all(planted[d][0] == item for d, item in got)
+    for edits, least in ((1, 50), (2, 100)):
+        of = [(d, i) in got for d, (i, e, n) in planted.items() if e == edits and n >= least]
+        assert len(of) > 80 and sum(of) >= 0.9 * len(of)
 
 
 def test_all_fingerprints_within_the_radius_are_found():
     import numpy as np
 
     rng = np.random.default_rng(1)
-    rows = [{"item_id": i, "part": "p", "words": rng.integers(0, 2**63, 12, dtype=np.uint64).tobytes()} for i in range(300)]
-    index = leaks.Index(12, rows)
-    prints = index.print.copy()
-    for k in range(len(prints)):
-        for bit in rng.choice(64, rng.integers(0, 6), replace=False):
-            prints[k] ^= np.uint64(1) << np.uint64(bit)
-    left, right = index.within(prints)
-    near = np.bitwise_count(prints[:, None] ^ index.print[None]) <= leaks.RADIUS
-    assert set(zip(left.tolist(), right.tolist())) == set(zip(*map(lambda x: x.tolist(), np.nonzero(near))))
+    for size, radius in ((12, leaks.RADII[0]), (50, leaks.RADII[1])):
+        rows = [{"item_id": i, "part": "p", "words": rng.integers(0, 2**63, size, dtype=np.uint64).tobytes()} for i in range(300)]
+        some = np.unique(leaks._of(size, rows))
+        index = leaks.Index(size, rows, some, np.ones(len(some)), 300)
+        prints = index.print.copy()
+        for k in range(len(prints)):
+            for bit in rng.choice(64, rng.integers(0, 11), replace=False):
+                prints[k] ^= np.uint64(1) << np.uint64(bit)
+        left, right = index.within(prints)
+        near = np.bitwise_count(prints[:, None] ^ index.print[None]) <= radius
+        assert set(zip(left.tolist(), right.tolist())) == set(zip(*map(lambda x: x.tolist(), np.nonzero(near))))
