@@ -1,56 +1,129 @@
-"""Vector search: cosine of query vectors against all rows, and a stand-in embedder of hashed tokens."""
+"""Vector search: an embedder hook, cosine of query vectors against all rows, and a stand-in embedder of hashed tokens."""
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.config import DEFAULT, Config
 from folioflow.functions.text import strip, tokens
 from folioflow.operators.lexical import ranked
 
+#: Takes texts, returns one vector for each as rows of a matrix.
+Embedder = Callable[[list[str]], np.ndarray]
 
-#: Query vectors that travel to the rows at once.
+#: Query vectors in one product with a batch of rows.
 QUERIES = 1000
+#: Bytes of query vectors that travel to the rows at once.
+HELD = 64 << 20
+BUCKETS = 64
 
 
-def dot(a: Column, b: Column) -> Column:
-    """The inner product in double precision; arrays of unequal length give null."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def embed(texts: DataFrame, key: str, text: str, embedder: Embedder, normalize: bool = True) -> DataFrame:
+    """key, embedding: the vectors of texts by an injected function, called once for each Arrow batch where Spark placed it.
 
+    Blank and null texts have no vector; others are trimmed. A zero vector stays zero. A failing embedder fails the job.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            matrix = np.asarray(embedder(batch.column(1).to_pylist()), dtype=np.float64)
+            if normalize:
+                matrix = matrix / np.maximum(np.sqrt((matrix * matrix).sum(axis=1)), 1e-300)[:, None]
+            starts = pa.array(np.arange(0, matrix.size + 1, matrix.shape[1], dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(starts, pa.array(matrix.ravel()))], names=[key, "embedding"])
+
+    some = texts.select(key, strip(F.col(text)).alias("text")).where("text <> ''")
+    return some.mapInArrow(run, f"{key} {dict(texts.dtypes)[key]}, embedding array<double>")
 
-def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
 
+@lru_cache(maxsize=1 << 18)
+def _bucket(token: str) -> int:
+    return int(hashlib.md5(token.encode("utf-8", "replace")).hexdigest()[:4], 16) % BUCKETS
 
-def _best(held, top_k: int, normalized: bool):
-    """Per Arrow batch the best rows of every query: what is shuffled does not grow with the batch."""
+
+def hashed_tokens(texts: list[str]) -> np.ndarray:
+    """A stand-in for an embedding model: the blank-separated tokens of a text counted in md5 buckets."""
+    out = np.zeros((len(texts), BUCKETS))
+    for row, text in zip(out, texts):
+        np.add.at(row, [_bucket(t) for t in text.split(" ")], 1.0)
+    return out
+
+
+def hashed_vectors(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """key, embedding: unit vectors of texts by :func:`hashed_tokens`. A key counts once (its smallest text)."""
+    once = texts.where(strip(F.col(text)) != "").groupBy(key).agg(F.min(text).alias(text))
+    return hashed_of_tokens(once.select(key, tokens(F.col(text)).alias("tokens")), key)
+
+
+def hashed_of_tokens(listed: DataFrame, key: str) -> DataFrame:
+    """The same of texts that are already tokens (key, tokens); no tokens, no vector."""
+    return embed(listed.select(key, F.array_join("tokens", " ").alias("text")), key, "text", hashed_tokens)
+
+
+class _Best:
+    """The best rows of every query so far, in a task."""
+
+    def __init__(self, queries: int, top_k: int) -> None:
+        self.top_k = top_k
+        self.query, self.score, self.row = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, dtype=object)
+        self.least = np.full(queries, -np.inf)
+
+    def take(self, score: np.ndarray, ids: np.ndarray, first: int) -> None:
+        """Scores of rows (in the order of their ids) for the queries from ``first`` on."""
+        n, k = len(ids), self.top_k
+        here = slice(first, first + score.shape[1])
+        bound = np.maximum(self.least[here], np.partition(score, n - k, axis=0)[n - k] if n > k else -np.inf)
+        good = score >= bound
+        for q in np.flatnonzero(good.sum(axis=0) > 2 * k):  # many ties: the smallest ids
+            good[:, q] = False
+            good[np.argsort(-score[:, q], kind="stable")[:k], q] = True
+        row, q = np.nonzero(good)
+        query, value, ids = np.concatenate((self.query, q + first)), np.concatenate((self.score, score[row, q])), np.concatenate((self.row, ids[row]))
+        by_id = np.argsort(ids, kind="stable")
+        order = by_id[np.lexsort((-value[by_id], query[by_id]))]
+        starts = np.flatnonzero(np.concatenate(([True], np.diff(query[order]) != 0)))
+        place = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+        kept = order[place < k]
+        self.query, self.score, self.row = query[kept], value[kept], ids[kept]
+        last = order[place == k - 1]
+        self.least[query[last]] = value[last]
+
+
+def _search(held, top_k: int, normalized: bool):
+    """The best rows of every query among a task's rows: what is shuffled is bounded by queries and tasks, not by rows."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = held.value
         sizes = np.sqrt((matrix * matrix).sum(axis=1))
+        best = _Best(len(names), top_k)
         for batch in rows:
             lengths = batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             usable = np.flatnonzero(lengths == matrix.shape[1])
             if not len(usable):
                 continue
-            taken = batch.take(pa.array(usable))
-            block = taken.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(usable), -1)
-            score = block @ matrix.T
-            if not normalized:
-                score /= np.maximum(np.sqrt((block * block).sum(axis=1))[:, None] * sizes, 1e-10)
-            score = np.round(score, 6)
-            ids = np.array(taken.column(0).to_pylist(), dtype=object)
+            ids = np.array(batch.column(0).take(pa.array(usable)).to_pylist(), dtype=object)
             order = np.argsort(ids, kind="stable")
-            for q, name in enumerate(names):
-                best = order[np.argsort(-score[order, q], kind="stable")[:top_k]]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(best), pa.int64()), pa.array(ids[best], pa.string()), pa.array(score[best, q])], names=["query_id", "chunk_id", "score"])
+            values = batch.column(1).take(pa.array(usable[order])).flatten()
+            block = values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(usable), -1)
+            norms = np.sqrt((block * block).sum(axis=1))
+            for first in range(0, len(names), QUERIES):
+                some = slice(first, first + QUERIES)
+                score = block @ matrix[some].T
+                if not normalized:
+                    score /= np.maximum(norms[:, None] * sizes[some], 1e-10)
+                best.take(np.round(score, 6), ids[order], first)
+        columns = [pa.array(names[best.query], pa.int64()), pa.array(best.row.tolist(), pa.string()), pa.array(best.score)]
+        yield pa.RecordBatch.from_arrays(columns, names=["query_id", "chunk_id", "score"])
 
     return run
 
@@ -58,43 +131,29 @@ def _best(held, top_k: int, normalized: bool):
 def dense_topk(vectors: DataFrame, queries: DataFrame, top_k: int | None = None, normalized: bool = False, config: Config = DEFAULT) -> DataFrame:
     """query_id, chunk_id, score, rank: the rows of greatest cosine for every query vector.
 
-    ``queries`` (query_id LONG, query) is a stated set; it goes to the rows in blocks of at most ``QUERIES``, and rows are
-    not moved. With ``normalized`` the vectors are trusted to be of unit length. Scores are rounded to 6 decimals, ties go
-    to the smaller id; a zero vector scores 0; null and empty vectors, and those of another length than the queries', take
-    no part. Each chunk_id should have one row.
+    ``queries`` (query_id LONG, query) is a stated set that travels to the rows, which are not moved; one of more than
+    ``HELD`` bytes goes in parts, each with a scan of its own. With ``normalized`` the vectors are trusted to be of unit
+    length. Scores are rounded to 6 decimals, ties go to the smaller id; a zero vector scores 0; null and empty vectors,
+    null ids, and vectors of another length than the query's take no part. Each chunk_id should have one row.
     """
     top_k = config.dense_top_k if top_k is None else top_k
+    spark, schema = vectors.sparkSession, "query_id long, chunk_id string, score double"
     asked = queries.where(F.col("query_id").isNotNull() & (F.size("query") > 0)).select("query_id", F.col("query").cast("array<double>").alias("query"))
-    rows = vectors.where(F.col("embedding").isNotNull()).select("chunk_id", "embedding")
-    n = asked.count()
+    rows = vectors.where(F.col("embedding").isNotNull() & F.col("chunk_id").isNotNull()).select("chunk_id", "embedding")
+    lengths = asked.groupBy(F.size("query").alias("n")).agg(F.count("*").alias("rows")).collect() if top_k > 0 else []  # one row a length
     found = []
-    for block in range(math.ceil(n / QUERIES)):
-        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(math.ceil(n / QUERIES))) == block).collect()
-        for length in sorted({len(r["query"]) for r in some}):
-            same = [r for r in some if len(r["query"]) == length]
-            held = vectors.sparkSession.sparkContext.broadcast(([r["query_id"] for r in same], np.array([r["query"] for r in same])))
-            found.append(rows.mapInArrow(_best(held, top_k, normalized), "query_id long, chunk_id string, score double"))
-    if not found or top_k <= 0:
-        return vectors.sparkSession.createDataFrame([], "query_id long, chunk_id string, score double, rank int")
+    for length, n in sorted((r["n"], r["rows"]) for r in lengths):
+        parts = math.ceil(n * length * 8 / HELD)
+        for part in range(parts):
+            mine = asked.where((F.size("query") == length) & (F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)).toArrow()
+            matrix = mine.column("query").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, length)
+            held = spark.sparkContext.broadcast((mine.column("query_id").to_numpy(), matrix))
+            found.append(rows.mapInArrow(_search(held, top_k, normalized), schema))
+    if not found:
+        return spark.createDataFrame([], schema + ", rank int")
     return ranked(reduce(DataFrame.unionByName, found), top_k)
 
 
-def hashed_vectors(texts: DataFrame, key: str, text: str, buckets: int = 64) -> DataFrame:
-    """key, bucket, weight: a sparse unit vector per text, of its tokens counted in md5 buckets (an embedder's stand-in).
-
-    Blank and null texts have no vector. A key counts once (its smallest text).
-    """
-    once = texts.where(strip(F.col(text)) != "").groupBy(key).agg(F.min(text).alias(text))
-    rows = once.select(key, F.explode_outer(tokens(F.col(text))).alias("term")).where("term is not null")
-    bucket = F.conv(F.substring(F.md5("term"), 1, 4), 16, 10).cast("int") % buckets
-    counted = rows.groupBy(key, bucket.alias("bucket")).agg(F.count("*").cast("double").alias("n"))
-    # all three steps keep the partitioning by key: one shuffle
-    size = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))
-    return counted.select(key, "bucket", (F.col("n") / size).alias("weight"))
-
-
 def hashed_topk(index: DataFrame, questions: DataFrame, top_k: int) -> DataFrame:
-    """Dense ranking by sparse unit vectors: a join on buckets and a sum, pre-aggregated before the shuffle."""
-    asked = hashed_vectors(questions, "query_id", "question").withColumnRenamed("weight", "query_weight")
-    scores = index.join(asked, "bucket").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("query_weight")), 6).alias("score"))
-    return ranked(scores, top_k)
+    """Dense ranking of questions by their hashed tokens; blank questions have no hits."""
+    return dense_topk(index, hashed_vectors(questions, "query_id", "question").withColumnRenamed("embedding", "query"), top_k, normalized=True)

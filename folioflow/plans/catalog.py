@@ -13,7 +13,9 @@ from folioflow.operators import chunking, dense, evidence, fusion, lexical, page
 from folioflow.plans import chunk_oracles as K
 from folioflow.plans import oracles as O
 from folioflow.plans import split_oracles as X
+from folioflow.plans.engine import Engine
 from folioflow.plans.lineage import cut
+from folioflow.sources import index_store
 from folioflow.sources.tables import table
 
 
@@ -111,8 +113,8 @@ def doc_lengths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lexical(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "chunks")
-    return lexical.bm25(lexical.postings(c), lexical.corpus(c), _questions(spark, d))
+    listed = cut(lexical.tokenized(table(spark, d, "chunks")))
+    return lexical.bm25(lexical.postings_of(listed), lexical.corpus_of(listed), _questions(spark, d))
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -124,18 +126,36 @@ def hashed_topk(spark: SparkSession, d: str) -> DataFrame:
     return dense.hashed_topk(index, _questions(spark, d), DEFAULT.dense_top_k)
 
 
-def _dense(spark: SparkSession, d: str, normalized: bool) -> DataFrame:
+def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").select(F.lpad(F.col("vec_id").cast("string"), 8, "0").alias("chunk_id"), "embedding", "vec_id")
     queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return dense.dense_topk(rows, queries, normalized=normalized)
+    return dense.dense_topk(rows, queries, normalized=True)
 
 
-def dense_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _dense(spark, d, True)
+def _given(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks that have a vector, their vectors, and the stated set: chunks of documents whose number is divisible by 20."""
+    vectors = cut(table(spark, d, "chunk_vectors").where("chunk_id is not null and size(embedding) > 0").select("chunk_id", "embedding").dropDuplicates(["chunk_id"]))
+    chunks = table(spark, d, "chunks").select("chunk_id", "section_title", "text").join(vectors.select("chunk_id"), "chunk_id", "left_semi")
+    number = F.regexp_extract("chunk_id", "([0-9]+)__", 1).cast("long")
+    asked = chunks.where(number % 20 == 0).groupBy("chunk_id").agg(F.min("section_title").alias("question")).join(vectors, "chunk_id")
+    return chunks, vectors, asked.select(F.xxhash64("chunk_id").alias("query_id"), F.col("chunk_id").alias("query_chunk"), "question", F.col("embedding").alias("query"))
 
 
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _dense(spark, d, False)
+    """The nearest given vectors, which are not all of unit length and some zero, of a stated set of chunks."""
+    _, vectors, asked = _given(spark, d)
+    asked = cut(asked)
+    hits = dense.dense_topk(vectors, asked)
+    return hits.join(asked.select("query_id", "query_chunk"), "query_id").select("query_chunk", "chunk_id", "score", "rank")
+
+
+def hybrid_vectors_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid search over given vectors: a stated set of chunks asks with its titles and vectors."""
+    chunks, vectors, asked = _given(spark, d)
+    asked = cut(asked)
+    engine = Engine(index_store.build(chunks, vectors, model="given"))
+    hits = engine.search(asked.select("query_id", "question"), queries=asked.select("query_id", "query"))
+    return hits.join(asked.select("query_id", "query_chunk"), "query_id").drop("query_id")
 
 
 def min_max_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -144,7 +164,7 @@ def min_max_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: every question's best chunks by BM25 and by vectors, scaled and fused."""
-    return fusion.fuse(_lexical(spark, d), hashed_topk(spark, d))
+    return Engine(index_store.build(table(spark, d, "chunks").select("chunk_id", "text"))).search(_questions(spark, d))
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
@@ -181,7 +201,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         clean_pages, text_gate, page_warnings, document_text, document_report, line_states, boundary_counts, raw_chunks, merged_chunks,
         document_chunks, split_chunks, chunk_parts, chunk_counts, document_metadata, term_stats, corpus_stats, doc_lengths, bm25_topk,
-        hashed_topk, dense_topk, cosine_topk, min_max_scores, hybrid_topk, evidence_blocks, citations, confidence_labels, valid_questions,
+        hashed_topk, dense_topk, cosine_topk, min_max_scores, hybrid_topk, hybrid_vectors_topk, evidence_blocks, citations, confidence_labels, valid_questions,
         vector_gaps,
     )
 }
@@ -210,6 +230,7 @@ ORACLES: dict[str, str] = {
     "cosine_topk": O.COSINE_TOPK,
     "min_max_scores": O.MIN_MAX,
     "hybrid_topk": O.HYBRID_TOPK,
+    "hybrid_vectors_topk": O.HYBRID_VECTORS,
     "evidence_blocks": O.EVIDENCE,
     "citations": O.CITATIONS,
     "confidence_labels": O.CONFIDENCE,

@@ -30,19 +30,37 @@ def first_sentence(prompt: str) -> str:
 class Engine:
     """Answers batches of questions; one question is a batch of one."""
 
-    def __init__(self, index: index_store.Index, client: AnswerClient = first_sentence, config: Config = DEFAULT) -> None:
-        self.index, self.client, self.config = index, client, config
+    def __init__(
+        self, index: index_store.Index, client: AnswerClient = first_sentence, config: Config = DEFAULT, embedder: dense.Embedder | None = None
+    ) -> None:
+        self.index, self.client, self.config, self.embedder = index, client, config, embedder
 
     @classmethod
-    def open(cls, spark: SparkSession, folder: str, client: AnswerClient = first_sentence, config: Config = DEFAULT) -> Engine:
-        return cls(index_store.load(spark, folder), client, config)
-
-    def search(self, questions: DataFrame, top_k: int | None = None) -> DataFrame:
-        """Fused hits of questions (query_id, question); blank ones and top_k <= 0 have none."""
+    def open(
+        cls, spark: SparkSession, folder: str, client: AnswerClient = first_sentence, config: Config = DEFAULT, embedder: dense.Embedder | None = None
+    ) -> Engine:
+        return cls(index_store.load(spark, folder), client, config, embedder)
+
+    def _asked(self, questions: DataFrame) -> DataFrame:
+        """query_id, query: the vectors of questions with text, by the embedder or, in an index of hashed tokens, like it."""
+        if self.embedder is not None:
+            vectors = dense.embed(questions.dropDuplicates(["query_id"]), "query_id", "question", self.embedder, self.index.normalized)
+        elif self.index.model == index_store.HASHED:
+            vectors = dense.hashed_vectors(questions, "query_id", "question")
+        else:
+            raise ValueError(f"questions need vectors or an embedder of {self.index.model}")
+        return vectors.withColumnRenamed("embedding", "query")
+
+    def search(self, questions: DataFrame, top_k: int | None = None, queries: DataFrame | None = None) -> DataFrame:
+        """Fused hits of questions (query_id, question); blank ones and top_k <= 0 have none.
+
+        ``queries`` (query_id, query) are the questions' vectors where they are known; else the embedder makes them.
+        """
         top_k = self.config.hybrid_top_k if top_k is None else top_k
         depth = max(top_k, self.config.lexical_top_k, self.config.dense_top_k)
         a = lexical.bm25(self.index.postings, self.index.corpus, questions, depth, self.config)
-        b = dense.hashed_topk(self.index.vectors, questions, depth)
+        asked = self._asked(questions) if queries is None else queries
+        b = dense.dense_topk(self.index.vectors, asked, depth if top_k > 0 else 0, self.index.normalized, self.config)
         return fusion.fuse(a, b, top_k, self.config)
 
     def ask(self, questions: DataFrame) -> DataFrame:

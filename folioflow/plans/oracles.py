@@ -162,12 +162,33 @@ EVIDENCE = f"""WITH {HITS} SELECT query_id, string_agg(coalesce('--- Document Ev
   FROM hits GROUP BY 1"""
 CITATIONS = f"""WITH {HITS} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS INT) AS position,
   chunk_id, source_filename, section_path, page_start, page_end FROM hits"""
+GIVEN = """
+gv AS (SELECT chunk_id, any_value(list_transform(embedding, lambda x: x::DOUBLE)) AS e FROM chunk_vectors WHERE len(embedding) > 0 GROUP BY 1),
+ga AS (SELECT chunk_id AS query_chunk, min(section_title) AS question, any_value(e) AS e FROM chunks JOIN gv USING (chunk_id)
+  WHERE CAST(regexp_extract(chunk_id, '([0-9]+)__', 1) AS BIGINT) % 20 = 0 GROUP BY 1),
+gs AS (SELECT query_chunk, b.chunk_id, round(list_inner_product(a.e, b.e) / greatest(sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e)), 1e-10), 6) AS score FROM ga a, gv b),
+dense AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_chunk ORDER BY score DESC, chunk_id) AS INT) AS rank FROM gs QUALIFY rank <= 20)"""
+COSINE_TOPK = f"WITH {GIVEN} SELECT query_chunk, chunk_id, score, rank FROM dense"
+_given_tokens = TOKENS.replace("FROM chunks GROUP BY 1", "FROM chunks WHERE chunk_id IN (SELECT chunk_id FROM gv) GROUP BY 1")
+_given_asked = ASKED[ASKED.index("asked_whole AS") :]
+_given_side = lambda side: _scaled(side).replace("query_id", "query_chunk")
+HYBRID_VECTORS = f"""WITH {GIVEN}, {_given_tokens},
+questions AS (SELECT query_chunk AS query_id, question FROM ga WHERE {strip('question')} <> ''), {_given_asked},
+dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY 1),
+bm AS (SELECT query_id AS query_chunk, chunk_id, round(sum(qtf * {IDF} * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * doc_len / avgdl))), 6) AS score
+  FROM asked JOIN postings USING (term) JOIN dfs USING (term), corpus GROUP BY 1, 2),
+lexical AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_chunk ORDER BY score DESC, chunk_id) AS INT) AS rank FROM bm WHERE score > 0 QUALIFY rank <= 20),
+la AS ({_given_side('lexical')}), da AS ({_given_side('dense')}),
+fused AS (SELECT query_chunk, chunk_id, round(0.5 * coalesce(la.scaled, 0) + 0.5 * coalesce(da.scaled, 0), 6) AS score,
+  list_filter([CASE WHEN la.score IS NOT NULL THEN 'bm25' END, CASE WHEN da.score IS NOT NULL THEN 'dense' END], lambda x: x IS NOT NULL) AS retrieval_sources,
+  la.score AS bm25_score, da.score AS dense_score, round(coalesce(la.scaled, 0), 6) AS normalized_bm25_score, round(coalesce(da.scaled, 0), 6) AS normalized_dense_score
+  FROM la FULL OUTER JOIN da USING (query_chunk, chunk_id))
+SELECT *, CAST(row_number() OVER (PARTITION BY query_chunk ORDER BY score DESC, chunk_id) AS INT) AS rank FROM fused QUALIFY rank <= 20"""
 DENSE = """
 WITH v AS (SELECT lpad(CAST(vec_id AS VARCHAR), 8, '0') AS chunk_id, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 s AS (SELECT a.vec_id AS query_id, b.chunk_id, round({score}, 6) AS score FROM v a, v b WHERE a.vec_id % 20 = 0)
 SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM s QUALIFY rank <= 20"""
 DENSE_TOPK = DENSE.format(score="list_inner_product(a.e, b.e)")
-COSINE_TOPK = DENSE.format(score="list_inner_product(a.e, b.e) / greatest(sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e)), 1e-10)")
 
 _refused = f"coalesce({strip('text')} = ''" + "".join(f" OR contains(lower(text), {q(p)})" for p in REFUSALS) + ", true)"
 CONFIDENCE = f"SELECT doc_id, CASE WHEN {_refused} THEN 'insufficient_evidence' ELSE 'grounded' END AS confidence_label FROM documents"

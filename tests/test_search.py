@@ -3,6 +3,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,8 +55,30 @@ def test_dense_ties_zero_null_and_length(spark):
     assert [(r.chunk_id, r.score) for r in hits] == [("a", 1.0), ("b", 1.0), ("c", 0.0), ("d", -1.0)]
     hits = dense.dense_topk(vectors, queries, 2, normalized=True).orderBy("rank").collect()
     assert [(r.chunk_id, r.score) for r in hits] == [("b", 6.0), ("a", 3.0)]
-    row = vectors.where("chunk_id = 'b'").select(dense.dot(F.col("embedding"), F.col("embedding")).alias("d"), dense.norm(F.col("embedding")).alias("n")).first()
-    assert (row.d, row.n) == (4.0, 2.0)
+
+
+def test_dense_equals_brute_force_in_parts_with_ties(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(f"c{i:03}", rng.integers(-2, 3, 3).astype(float).tolist()) for i in rng.permutation(400)]
+    queries = [(q, rng.integers(-2, 3, 3).astype(float).tolist()) for q in range(30)]
+    vectors = spark.createDataFrame(rows, "chunk_id string, embedding array<float>").repartition(3)
+    asked = spark.createDataFrame(queries, "query_id long, query array<double>")
+    want = set()
+    for q, v in queries:
+        scores = {c: round(float(np.dot(e, v) / max(np.linalg.norm(e) * np.linalg.norm(v), 1e-10)), 6) for c, e in rows}
+        want |= {(q, c, i) for i, (c, _) in enumerate(sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:7], 1)}
+    for held, block in ((dense.HELD, dense.QUERIES), (100, 4)):
+        monkeypatch.setattr(dense, "HELD", held)
+        monkeypatch.setattr(dense, "QUERIES", block)
+        assert {(r.query_id, r.chunk_id, r["rank"]) for r in dense.dense_topk(vectors, asked, 7).collect()} == want
+
+
+def test_embedder_hook(spark):
+    texts = spark.createDataFrame([("a", " xx "), ("b", "yyyy"), ("c", "  "), ("d", None), ("e", "")], "key string, text string")
+    made = {r.key: r.embedding for r in dense.embed(texts, "key", "text", lambda some: np.array([[len(t), 0.0] for t in some])).collect()}
+    assert made == {"a": [1.0, 0.0], "b": [1.0, 0.0]}
+    plain = dense.embed(texts, "key", "text", lambda some: np.array([[len(t), 0.0] for t in some]), normalize=False).collect()
+    assert {r.key: r.embedding for r in plain} == {"a": [2.0, 0.0], "b": [4.0, 0.0]}
 
 
 SIDE = "query_id long, chunk_id string, score double"

@@ -70,3 +70,25 @@ def test_streamed_ingest_equals_batch(spark, data, tmp_path):
     want = chunking.chunk_documents(pages, meta)
     assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
     assert spark.read.parquet(str(tmp_path / "out/postings")).count() > 0
+
+
+def test_index_of_given_vectors(spark, tmp_path):
+    chunks = spark.createDataFrame([("a", "levy on boats"), ("b", "levy on carts"), ("c", "grain")], "chunk_id string, text string")
+    given = [("a", [3.0, 0.0]), ("b", [0.0, 0.5]), ("c", [1.0, 1.0])]
+    vectors = spark.createDataFrame(given + given[:1], "chunk_id string, embedding array<float>")
+    for wrong in (vectors.where("chunk_id <> 'a'"), vectors.unionByName(spark.createDataFrame([("z", [1.0, 0.0])], "chunk_id string, embedding array<float>"))):
+        with pytest.raises(ValueError, match="have no"):
+            index_store.build(chunks, wrong)
+    index_store.save(index_store.build(chunks, vectors, model="two"), str(tmp_path / "i"))
+    index = index_store.load(spark, str(tmp_path / "i"))
+    assert (index.model, index.dimension, index.normalized, index.corpus_size()) == ("two", 2, False, 3)
+    assert index_store.load(spark, str(tmp_path / "i"), model="other").model == "other"
+    questions = spark.createDataFrame([(1, "boats"), (2, " ")], "query_id long, question string")
+    with pytest.raises(ValueError, match="embedder of two"):
+        Engine(index).search(questions)
+    hits = Engine(index, embedder=lambda texts: [[0.0, 2.0] for _ in texts]).search(questions, 3).collect()
+    assert [(r.query_id, r.chunk_id, r.dense_score) for r in sorted(hits, key=lambda r: r["rank"])] == [(1, "a", 0.0), (1, "b", 1.0), (1, "c", 0.707107)]
+    known = Engine(index).search(questions, 1, spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, query array<double>")).first()
+    assert (known.chunk_id, known.score, known.retrieval_sources) == ("a", 1.0, ["bm25", "dense"])
+    made = index_store.build(chunks, embedder=lambda texts: [[float(len(t)), 1.0] for t in texts], model="lengths")
+    assert (made.dimension, made.normalized, made.vectors.count()) == (2, True, 3)
