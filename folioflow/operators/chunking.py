@@ -123,6 +123,24 @@ def _step(acc: Column, path: Column) -> Column:
     return F.struct(path.alias("path"), F.concat(acc["paths"], F.array(path)).alias("paths"))
 
 
+# Metadata without which a document is not accepted.
+REQUIRED_METADATA = ("circular_number", "doc_id", "source_filename")
+
+
+def accepted_and_rejected_metadata(doc_meta: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with all required fields, and the others with the sorted names of what is missing (null) as ``missing``.
+
+    A table without one of the columns, or with one that is not a string, is refused as a whole: ValueError, TypeError.
+    """
+    if absent := sorted(set(REQUIRED_METADATA) - set(doc_meta.columns)):
+        raise ValueError(f"metadata lacks the columns {absent}")
+    if wrong := [name for name, kind in doc_meta.dtypes if name in REQUIRED_METADATA and kind != "string"]:
+        raise TypeError(f"metadata columns that are not strings: {wrong}")
+    missing = F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED_METADATA)))
+    marked = doc_meta.withColumn("missing", missing)
+    return marked.where(F.size("missing") == 0).drop("missing"), marked.where(F.size("missing") > 0)
+
+
 def metadata(doc_meta: DataFrame) -> DataFrame:
     """One row per doc_id, the last by updated_at; absent numbers and dates are ''."""
     latest = Window.partitionBy("doc_id").orderBy(F.desc_nulls_last("updated_at"), "source_filename", "circular_number", "date_issued")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.config import DEFAULT, Config
@@ -34,17 +34,32 @@ def native_text_gate(pages: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return counted.withColumn("accepted", F.col("n_thin") <= F.col("n_pages") * config.scanned_page_share)
 
 
-def page_warnings(pages: DataFrame) -> DataFrame:
-    """page_id, warning: one row for each warning about a page: a table, no text."""
-    once = last_delivery(pages.select("page_id", "page_number", "text", "has_table", "loaded_at"), ["page_id"], "loaded_at")
+def _warnings() -> Column:
+    """What there is to warn about in a page (page_number, text, has_table): a table, then no text."""
     label = F.concat(F.lit("Page "), F.col("page_number").cast("string"))
-    warnings = F.array_compact(
+    return F.array_compact(
         F.array(
             F.when(F.col("has_table"), F.concat(label, F.lit(": table detected"))),
             F.when(F.coalesce(strip(F.col("text")), F.lit("")) == "", F.concat(label, F.lit(": no text"))),
         )
     )
-    return once.select("page_id", F.explode(warnings).alias("warning"))
+
+
+def page_warnings(pages: DataFrame) -> DataFrame:
+    """page_id, warning: one row for each warning about a page: a table, no text."""
+    once = last_delivery(pages.select("page_id", "page_number", "text", "has_table", "loaded_at"), ["page_id"], "loaded_at")
+    return once.select("page_id", F.explode(_warnings()).alias("warning"))
+
+
+def document_warnings(pages: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """doc_id, warnings: the warnings of a document's pages in order, then whether it is very short; empty if there is none."""
+    once = last_delivery(pages.select("page_id", "doc_id", "page_number", "text", "has_table", "loaded_at"), ["page_id"], "loaded_at")
+    placed = once.select("doc_id", "page_number", "page_id", _warnings().alias("some"), F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    told = F.when(F.size("some") > 0, F.struct("page_number", "page_id", "some"))
+    grouped = placed.where("doc_id is not null").groupBy("doc_id").agg(F.sort_array(F.collect_list(told)).alias("told"), F.sum("n").alias("n"))
+    short = F.concat(F.lit("Document is very short: only "), F.col("n").cast("string"), F.lit(" total characters extracted."))
+    last = F.when(F.col("n") < config.short_document_chars, F.array(short)).otherwise(F.array().cast("array<string>"))
+    return grouped.select("doc_id", F.concat(F.flatten(F.col("told.some")), last).alias("warnings"))
 
 
 def document_text(pages: DataFrame) -> DataFrame:

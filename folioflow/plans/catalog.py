@@ -36,6 +36,10 @@ def page_warnings(spark: SparkSession, d: str) -> DataFrame:
     return pages.page_warnings(table(spark, d, "pages"))
 
 
+def document_warnings(spark: SparkSession, d: str) -> DataFrame:
+    return pages.document_warnings(table(spark, d, "pages"))
+
+
 def document_text(spark: SparkSession, d: str) -> DataFrame:
     return pages.document_text(table(spark, d, "pages"))
 
@@ -98,6 +102,10 @@ def document_metadata(spark: SparkSession, d: str) -> DataFrame:
     return chunking.with_metadata(known, table(spark, d, "doc_meta")).drop("parts")
 
 
+def rejected_metadata(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.accepted_and_rejected_metadata(table(spark, d, "doc_meta"))[1].select("doc_id", "source_filename", "circular_number", "missing")
+
+
 def term_stats(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "chunks")
     return lexical.terms(lexical.postings(c), lexical.corpus(c)).select("term", "df", F.round("idf", 6).alias("idf"))
@@ -199,8 +207,8 @@ def vector_gaps(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        clean_pages, text_gate, page_warnings, document_text, document_report, line_states, boundary_counts, raw_chunks, merged_chunks,
-        document_chunks, split_chunks, chunk_parts, chunk_counts, document_metadata, term_stats, corpus_stats, doc_lengths, bm25_topk,
+        clean_pages, text_gate, page_warnings, document_warnings, document_text, document_report, line_states, boundary_counts, raw_chunks, merged_chunks,
+        document_chunks, split_chunks, chunk_parts, chunk_counts, document_metadata, rejected_metadata, term_stats, corpus_stats, doc_lengths, bm25_topk,
         hashed_topk, dense_topk, cosine_topk, min_max_scores, hybrid_topk, hybrid_vectors_topk, evidence_blocks, citations, confidence_labels, valid_questions,
         vector_gaps,
     )
@@ -210,6 +218,7 @@ ORACLES: dict[str, str] = {
     "clean_pages": O.CLEAN_PAGES,
     "text_gate": O.TEXT_GATE,
     "page_warnings": O.PAGE_WARNINGS,
+    "document_warnings": O.DOCUMENT_WARNINGS,
     "document_text": O.DOCUMENT_TEXT,
     "document_report": O.DOCUMENT_REPORT,
     "line_states": O.LINE_STATES,
@@ -221,6 +230,7 @@ ORACLES: dict[str, str] = {
     "chunk_parts": O.CHUNK_PARTS,
     "chunk_counts": O.COUNTS,
     "document_metadata": O.METADATA,
+    "rejected_metadata": O.REJECTED_METADATA,
     "term_stats": O.TERM_STATS,
     "corpus_stats": O.CORPUS_STATS,
     "doc_lengths": O.DOC_LENGTHS,

@@ -56,6 +56,15 @@ WITH {PAGES}
 SELECT page_id, 'Page ' || page_number || ': table detected' AS warning FROM pages_once WHERE has_table
 UNION ALL SELECT page_id, 'Page ' || page_number || ': no text' FROM pages_once WHERE coalesce({strip('text')}, '') = ''"""
 
+DOCUMENT_WARNINGS = f"""
+WITH {PAGES},
+w AS (SELECT doc_id, page_number, page_id, 1 AS k, 'Page ' || page_number || ': table detected' AS warning FROM pages_once WHERE has_table
+  UNION ALL SELECT doc_id, page_number, page_id, 2, 'Page ' || page_number || ': no text' FROM pages_once WHERE coalesce({strip('text')}, '') = ''
+  UNION ALL SELECT doc_id, NULL, NULL, 3, 'Document is very short: only ' || CAST(sum(length(coalesce(text, ''))) AS BIGINT) || ' total characters extracted.'
+    FROM pages_once GROUP BY 1 HAVING sum(length(coalesce(text, ''))) < 200),
+l AS (SELECT doc_id, list(warning ORDER BY page_number NULLS LAST, page_id, k) AS warnings FROM w GROUP BY 1)
+SELECT doc_id, coalesce(warnings, []) AS warnings FROM (SELECT DISTINCT doc_id FROM pages_once WHERE doc_id IS NOT NULL) LEFT JOIN l USING (doc_id)"""
+
 DOCUMENT_TEXT = f"""
 WITH {PAGES}
 SELECT doc_id, string_agg('--- Page ' || page_number || ' ---' || {NL} || text, {NL} || {NL} ORDER BY page_number, page_id) AS text,
@@ -211,3 +220,7 @@ FROM d LEFT JOIN m USING (doc_id)"""
 VECTOR_GAPS = """
 SELECT CASE WHEN v.chunk_id IS NULL THEN 'no vector' WHEN c.chunk_id IS NULL THEN 'no chunk' ELSE 'both' END AS state, count(*) AS n_chunks
 FROM (SELECT DISTINCT chunk_id FROM chunks) c FULL OUTER JOIN (SELECT DISTINCT chunk_id FROM chunk_vectors WHERE len(embedding) > 0) v USING (chunk_id) GROUP BY 1"""
+REJECTED_METADATA = """
+SELECT doc_id, source_filename, circular_number, list_filter([CASE WHEN circular_number IS NULL THEN 'circular_number' END,
+  CASE WHEN doc_id IS NULL THEN 'doc_id' END, CASE WHEN source_filename IS NULL THEN 'source_filename' END], lambda x: x IS NOT NULL) AS missing
+FROM doc_meta WHERE circular_number IS NULL OR doc_id IS NULL OR source_filename IS NULL"""

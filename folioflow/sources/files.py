@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import fnmatch
 import html
 import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,11 +38,17 @@ def html_pages(content: bytes) -> list[tuple[str, int]]:
 def scan_files(spark: SparkSession, folder: str, pattern: str, extractor: PageExtractor = text_pages) -> DataFrame:
     """One row per page of every matching file, or one row with error_kind for a file that gives none.
 
-    error_kind: ``open_failed`` (the extractor raised), ``empty`` (no pages). One file's failure does not end the scan.
-    A folder without matching files gives no rows; Spark's
-    reader passes over files of no bytes. Files are read and extracted where Spark places them.
+    error_kind: ``open_failed`` (the extractor raised), ``empty`` (no pages, or a file of no bytes). One file's failure does
+    not end the scan. A folder that does not exist or has no matching files gives no rows. Files are read and extracted
+    where Spark places them; those of no bytes, over which Spark's reader passes, are added by their listing.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    empty = spark.createDataFrame([], SCHEMA)
+    try:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    except AnalysisException as problem:
+        if "PATH_NOT_FOUND" not in (problem.getCondition() or ""):
+            raise
+        return empty
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -53,7 +61,22 @@ def scan_files(spark: SparkSession, folder: str, pattern: str, extractor: PageEx
                 rows = [(path, name, k, text, tables, None, None) for k, (text, tables) in enumerate(pages, 1)]
                 yield pd.DataFrame(rows or [(path, name, None, None, None, kind, error)], columns=SCHEMA.replace(",", "").split()[::2])
 
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+    names = spark.createDataFrame([(p, p.rsplit("/", 1)[-1], "empty", "no bytes") for p in _without_bytes(spark, folder, pattern)], "path string, file_name string, error_kind string, error string")
+    return files.select("path", "content").mapInPandas(run, SCHEMA).unionByName(names, allowMissingColumns=True)
+
+
+def _without_bytes(spark: SparkSession, folder: str, pattern: str) -> list[str]:
+    """The paths of the matching files of no bytes, by the file system's own listing: names only."""
+    context = spark.sparkContext
+    root = context._jvm.org.apache.hadoop.fs.Path(folder)
+    listing = root.getFileSystem(context._jsc.hadoopConfiguration()).listFiles(root, True)
+    found = []
+    while listing.hasNext():
+        status = listing.next()
+        path = status.getPath()
+        if not status.getLen() and fnmatch.fnmatchcase(path.getName(), pattern) and not path.getName().startswith(("_", ".")):
+            found.append(path.toString())
+    return found
 
 
 def accepted_and_rejected(scanned: DataFrame, thin_chars: int = 50, share: float = 0.5) -> tuple[DataFrame, DataFrame]:

@@ -19,11 +19,23 @@ def test_files_rejections_and_pages(spark, tmp_path):
     (tmp_path / "b.txt").write_bytes(b"\n")
     (tmp_path / "c.txt").write_bytes(b"\xff\xfe\xff")
     (tmp_path / "d.txt").write_text("thin\fthin")
+    (tmp_path / "z.txt").write_bytes(b"")
     (tmp_path / "e.other").write_text("not scanned")
     good, bad = files.accepted_and_rejected(files.scan_files(spark, str(tmp_path), "*.txt"))
-    assert {(r.path[-5:], r.error_kind) for r in bad.collect()} == {("b.txt", "empty"), ("c.txt", "open_failed"), ("d.txt", "scanned")}
+    assert {(r.path[-5:], r.error_kind) for r in bad.collect()} == {("b.txt", "empty"), ("c.txt", "open_failed"), ("d.txt", "scanned"), ("z.txt", "empty")}
     assert [(r.doc_id, r.page_number) for r in files.as_pages(good).orderBy("page_number").collect()] == [("a", 1), ("a", 2)]
     assert files.scan_files(spark, str(tmp_path), "*.none").count() == 0
+    assert files.scan_files(spark, str(tmp_path / "missing"), "*.txt").count() == 0
+
+
+def test_metadata_is_validated(spark):
+    rows = [("d1", "f", "c"), ("d2", None, None), (None, "f", "c"), ("d1", "f", "c")]
+    good, bad = chunking.accepted_and_rejected_metadata(spark.createDataFrame(rows, "doc_id string, source_filename string, circular_number string"))
+    assert good.count() == 2 and {(r.doc_id, tuple(r.missing)) for r in bad.collect()} == {("d2", ("circular_number", "source_filename")), (None, ("doc_id",))}
+    with pytest.raises(ValueError, match="circular_number.*source_filename"):
+        chunking.accepted_and_rejected_metadata(spark.createDataFrame([("d",)], "doc_id string"))
+    with pytest.raises(TypeError, match="doc_id"):
+        chunking.accepted_and_rejected_metadata(spark.createDataFrame([(1, "f", "c")], "doc_id long, source_filename string, circular_number string"))
 
 
 def test_html_pages():
