@@ -34,10 +34,11 @@ NO_HEADING_PREFIXES = [
 ]
 # Last words of a wrapped line.
 WRAPPED_WORDS = (
-    "the a an and or of in to for on at by as is are was were be been that which with from into under over only not no "
-    "its their his her this these those any all each both than when where whether how may shall can will has have had "
-    "also even such same other another so if else but"
-).split()
+    "the", "a", "an", "and", "or", "of", "in", "to", "for", "on", "at", "by", "as", "is", "are", "was", "were", "be", "been", "that",
+    "which", "with", "from", "into", "under", "over", "only", "not", "no", "its", "their", "his", "her", "this", "these", "those", "any",
+    "all", "each", "both", "than", "when", "where", "whether", "how", "may", "shall", "can", "will", "has", "have", "had", "also", "even",
+    "such", "same", "other", "another", "so", "if", "else", "but", "sub-",
+)
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 PREFIX_PATTERN = "^(?:" + "|".join(re.sub(r"([.])", r"[\1]", p) for p in NO_HEADING_PREFIXES) + ")"
 TWO_NAMES = rf"^[A-Z][a-z]+ [A-Z][a-z]+({S}*\([^)]*\))?{S}*$"
@@ -47,19 +48,15 @@ def is_heading(stripped: Column) -> Column:
     """Whether a trimmed line is a heading: a short title line that is no sentence, letterhead, name or address."""
     tail = F.regexp_extract(F.regexp_replace(stripped, r"[.,;:)\-]+$", ""), rf"({NS}+){S}*$", 1)
     last_word = F.regexp_replace(F.lower(tail), r"[)\-,.]+$", "")
-    worded = F.filter(F.split(stripped, f"{S}+"), lambda w: w.rlike(r"\p{L}"))
-    return (
+    return (  # the cheapest tests that most lines fail come first
         F.length(stripped).between(8, 120)
+        & ~F.substring(stripped, -1, 1).isin(*".?!;,-")
         & stripped.rlike(r"^\p{Lu}")
-        & ~stripped.rlike(r"[.?!;,\-]$")
-        & ~last_word.isin(WRAPPED_WORDS)
+        & ~stripped.rlike(rf"\. [A-Z]|[@/]|www\.|\(All\)|^(?:{MONTHS})")
         & ~F.lower(stripped).rlike(PREFIX_PATTERN)
-        & ~stripped.rlike(r"\. [A-Z]")
-        & (F.size(worded) >= 3)
-        & ~stripped.rlike(r"@|http://|https://|www\.")
+        & (F.regexp_count(stripped, F.lit(rf"{NS}*\p{{L}}{NS}*")) >= 3)
         & ~stripped.rlike(TWO_NAMES)
-        & ~stripped.rlike(rf"^(?:{MONTHS})")
-        & ~stripped.rlike(r"\(All\)|/")
+        & ~last_word.isin(*WRAPPED_WORDS)
     )
 
 
@@ -76,10 +73,14 @@ def definite_kind(line: Column) -> Column:
     return F.when(line.rlike(POSSIBLE), marked)
 
 
-def boundary_kind(line: Column, in_enumeration: Column, definite: Column | None = None) -> Column:
-    """The kind of boundary: as :func:`definite_kind` (if known: ``definite``); a numeral within a list; a heading; else null."""
+def boundary_kind(line: Column, in_enumeration: Column, definite: Column | None = None, stripped: Column | None = None) -> Column:
+    """The kind of boundary: as :func:`definite_kind`; a numeral within a list; a heading; else null.
+
+    ``definite`` and ``stripped`` (the line without white space at its ends) are used where they are known.
+    """
     bare = in_enumeration & line.rlike(BARE_ROMAN)
-    return F.coalesce(definite_kind(line) if definite is None else definite, F.when(bare, F.lit("roman")), F.when(is_heading(strip(line)), F.lit("heading")))
+    heading = is_heading(strip(line) if stripped is None else stripped)
+    return F.coalesce(definite_kind(line) if definite is None else definite, F.when(bare, F.lit("roman")), F.when(heading, F.lit("heading")))
 
 
 def boundary_marker(line: Column, kind: Column) -> Column:

@@ -31,7 +31,7 @@ def page_lines(pages: DataFrame) -> DataFrame:
     rows = F.when(is_table, F.array(F.coalesce("text", F.lit("")))).otherwise(T.lines(F.col("text")))
     split = once.select("doc_id", "page_number", is_table.alias("is_table"), T.rows_of(rows, "line_no", "line"))
     split = split.where("line is not null")
-    return split.where(F.col("is_table") | (T.strip(F.col("line")) != ""))
+    return split.where(F.col("is_table") | F.col("line").rlike(T.NS))
 
 
 def line_states(lines: DataFrame) -> DataFrame:
@@ -42,16 +42,16 @@ def line_states(lines: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("page_number", "line_no")
     before, so_far = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
     line = F.col("line")
-    hyphen = F.when(~F.col("is_table"), T.strip(line).endswith("-"))
-    states = lines.withColumn("continues", ~F.col("is_table") & F.coalesce(F.last(hyphen, ignorenulls=True).over(before), F.lit(False)))
+    hyphen = F.when(~F.col("is_table"), F.col("_stripped").endswith("-"))
+    states = lines.withColumn("_stripped", F.when(~F.col("is_table"), T.strip(line))).withColumn("continues", ~F.col("is_table") & F.coalesce(F.last(hyphen, ignorenulls=True).over(before), F.lit(False)))
     free = ~F.col("is_table") & ~F.col("continues")
     states = states.withColumn("_definite", F.when(free, B.definite_kind(line)))
     states = states.withColumn("in_enumeration", F.coalesce(F.last("_definite", ignorenulls=True).over(before).isin(*IN_LIST), F.lit(False)))
-    states = states.withColumn("kind", F.when(free, B.boundary_kind(line, F.col("in_enumeration"), F.col("_definite"))))
+    states = states.withColumn("kind", F.when(free, B.boundary_kind(line, F.col("in_enumeration"), F.col("_definite"), F.col("_stripped"))))
     states = states.withColumn("marker", B.boundary_marker(line, F.col("kind")))
     title = F.coalesce(F.last(F.when(F.col("kind") == "heading", F.col("marker")), ignorenulls=True).over(so_far), F.lit(""))
     starts = F.col("kind").isNotNull() | F.col("is_table") | F.coalesce(F.lag("is_table").over(order), F.lit(False))
-    return states.withColumn("title", title).withColumn("grp", F.sum(starts.cast("int")).over(so_far)).drop("_definite")
+    return states.withColumn("title", title).withColumn("grp", F.sum(starts.cast("int")).over(so_far)).drop("_definite", "_stripped")
 
 
 def line_groups(states: DataFrame) -> DataFrame:
