@@ -16,6 +16,7 @@ map-side aggregation, so a hot source costs nothing more.
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 import zlib
@@ -27,11 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.llm import shingles as S
 from folioflow.llm.lookalike import LOOKALIKES, UNSEEN
 
+U = np.uint64
 #: At most about so many labelled documents are used for the fit.
 LABELLED = 12_000
-DIMENSIONS = 1 << 18
+BITS = 18
+DIMENSIONS = 1 << BITS
 ROUNDS, STEPS, RATE = 4, 120, 0.1
 #: The penalty on squared weights, in documents: as many must agree before a feature counts in full; less if few are bad.
 PENALTY, PENALTY_SHARE, LEAST_PENALTY = 3.0, 0.05, 0.5
@@ -39,6 +43,8 @@ PENALTY, PENALTY_SHARE, LEAST_PENALTY = 3.0, 0.05, 0.5
 DOUBTFUL = 0.8
 #: A document is reported if its expected severity (0 to 2) is at least this.
 REPORTED = 0.5
+#: Documents and sentences that are taken together, and sentences whose scores are kept for later ones.
+DOCUMENTS, SENTENCES, KNOWN = 2048, 20_000, 50_000
 
 _DROP = {ord(c): None for c in map(chr, UNSEEN)}
 _SAME = {ord(a): b for a, b in LOOKALIKES.items()}
@@ -65,28 +71,59 @@ def _undo(word: str) -> tuple[str, str]:
     return word.translate(_SIGNS), bare
 
 
-_known: dict[str, tuple[str, str]] = {}
-
-
-def features(sentence: str) -> np.ndarray:
-    """The distinct hashed features of a sentence."""
-    low = unicodedata.normalize("NFKC", sentence.translate(_DROP)).translate(_SAME).lower()
-    low = _SPELT.sub(lambda m: _APART.sub("", m.group()), low)
-    words, seen = ["<"], []
-    for raw in _WORD.findall(low):
-        pair = _known.get(raw)
-        if pair is None:
-            if len(_known) > 200_000:
-                _known.clear()
-            pair = _known[raw] = _undo(raw)
-        words.append(pair[0])
-        if pair[1]:
-            seen.append("_" + pair[1])
-    words.append(">")
-    seen += words
-    seen += map(" ".join, zip(words, words[1:]))
-    seen += map(" ".join, zip(words, words[1:], words[2:]))
-    return np.unique(np.fromiter((zlib.crc32(x.encode("utf-8", "replace")) for x in seen), np.int64, len(seen)) % DIMENSIONS)
+def _plain(sentence: str) -> str:
+    """The sentence lower-cased, in compatibility forms, without invisible and look-alike characters and letters spelt apart."""
+    low = sentence.lower() if sentence.isascii() else unicodedata.normalize("NFKC", sentence.translate(_DROP)).translate(_SAME).lower()
+    return _SPELT.sub(lambda m: _APART.sub("", m.group()), low)
+
+
+class Words:
+    """Numbers of words as written, with the hashes of what they stand for: once for each word of a task."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.plain: list[int] = []
+        self.bare: list[int] = []
+
+    def of(self, words: list[str]) -> list[int]:
+        numbers = self.numbers
+        for raw in words:
+            if raw not in numbers:
+                plain, bare = _undo(raw)
+                numbers[raw] = len(self.plain)
+                self.plain.append(zlib.crc32(plain.encode("utf-8", "replace")))
+                self.bare.append(zlib.crc32(bare.encode("utf-8", "replace")) | 1 << 33 if bare else 0)
+        return [numbers[raw] for raw in words]
+
+
+_FIRST, _LAST = U(1 << 34), U(1 << 35)
+_words = Words()
+
+
+def features(some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashed features of sentences as a sparse matrix: indexes row by row, and where each row starts."""
+    global _words
+    if len(_words.plain) > 200_000:
+        _words = Words()
+    rows = [_words.of(_WORD.findall(_plain(s))) for s in some]
+    lengths = np.array([len(x) for x in rows], dtype=np.int64)
+    numbers = np.fromiter(itertools.chain.from_iterable(rows), np.int64, lengths.sum())
+    ends = np.cumsum(lengths + 2)
+    starts = ends - lengths - 2
+    owner = np.repeat(np.arange(len(some)), lengths + 2)
+    word = np.zeros(len(owner), dtype=U)
+    inner = np.ones(len(owner), dtype=bool)
+    inner[starts] = inner[ends - 1] = False
+    word[starts], word[ends - 1], word[inner] = _FIRST, _LAST, np.array(_words.plain, dtype=U)[numbers]
+    word = S.mix(word)
+    pair = S.mix(word[:-1] * U(3) + word[1:])
+    triple = S.mix(pair[:-1] * U(5) + word[2:])
+    bare = np.array(_words.bare, dtype=U)[numbers]
+    kinds = [(word, owner), (pair, np.where(owner[:-1] == owner[1:], owner[1:], -1)), (triple, np.where(owner[:-2] == owner[2:], owner[2:], -1)), (S.mix(bare), np.where(bare > 0, owner[inner], -1))]
+    hashed, of = (np.concatenate(x) for x in zip(*kinds))
+    keys = np.sort((of << BITS | (hashed & U(DIMENSIONS - 1)).astype(np.int64))[of >= 0])
+    keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]  # far faster than numpy's unique
+    return keys & (DIMENSIONS - 1), np.searchsorted(keys, np.arange(len(some) + 1) << BITS)
 
 
 @dataclass
@@ -130,27 +167,23 @@ def fit(index: np.ndarray, start: np.ndarray, grade: np.ndarray, weight: np.ndar
 
 def train(texts: list[str], grades: list[int]) -> Ordinal:
     """Fits the model to documents and their grades; without documents of both kinds nothing is ever abusive."""
-    rows: list[np.ndarray] = []
     place: dict[str, int] = {}
     of: list[np.ndarray] = []
     for text in texts:
         mine = []
         for s in sentences(text):
             key = re.sub(r"[0-9]+", "0", s)
-            if key not in place:
-                place[key] = len(rows)
-                rows.append(features(key))
-            mine.append(place[key])
+            mine.append(place.setdefault(key, len(place)))
         of.append(np.unique(np.array(mine, dtype=np.int64)))
     grade = np.array(grades, dtype=np.int64)
-    if not rows or not (grade == 0).any() or not (grade > 0).any():
+    if not place or not (grade == 0).any() or not (grade > 0).any():
         return Ordinal(np.zeros(DIMENSIONS), np.array([20.0, 21.0]))
-    index, start = np.concatenate(rows), np.concatenate(([0], np.cumsum([len(x) for x in rows])))
+    index, start = features(list(place))
     flat, owner = np.concatenate(of), np.repeat(np.arange(len(of)), [len(x) for x in of])
     # the first guess of a sentence's severity: how much rarer its features are in documents of grade 0
     bad = grade[owner] > 0
-    with_bad = np.bincount(flat, weights=bad, minlength=len(rows))
-    with_good = np.bincount(flat, weights=~bad, minlength=len(rows))
+    with_bad = np.bincount(flat, weights=bad, minlength=len(place))
+    with_good = np.bincount(flat, weights=~bad, minlength=len(place))
     lengths = np.diff(start)
     f_bad = np.bincount(index, weights=np.repeat(with_bad, lengths), minlength=DIMENSIONS)
     f_good = np.bincount(index, weights=np.repeat(with_good, lengths), minlength=DIMENSIONS)
@@ -199,21 +232,24 @@ def learn(documents: DataFrame, labels: DataFrame) -> Ordinal:
 
 
 def _score(held):
+    """Each distinct sentence of a batch, and one of those scored lately, is scored once."""
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Ordinal = held.value
+        known: dict[str, float] = {}
         for batch in rows:
-            for begin in range(0, len(batch), 512):
-                part = batch.slice(begin, 512)
-                spans, owner = [], []
-                for k, text in enumerate(part.column(2).to_pylist()):
-                    mine = [features(s) for s in sentences(text)]
-                    spans += mine
-                    owner += [k] * len(mine)
-                severity, n = np.zeros(len(part)), np.zeros(len(part), np.int64)
-                if spans:
-                    value = model.severity(np.concatenate(spans), np.concatenate(([0], np.cumsum([len(x) for x in spans]))))
-                    np.maximum.at(severity, owner, value)
-                    np.add.at(n, owner, (value >= REPORTED).astype(np.int64))
+            for begin in range(0, len(batch), DOCUMENTS):
+                part = batch.slice(begin, DOCUMENTS)
+                if len(known) > KNOWN:
+                    known.clear()
+                texts = [sentences(text) for text in part.column(2).to_pylist()]
+                fresh = list({s: None for mine in texts for s in mine if s not in known})
+                for first in range(0, len(fresh), SENTENCES):
+                    some = fresh[first : first + SENTENCES]
+                    known.update(zip(some, model.severity(*features(some)).tolist()))
+                values = [[known[s] for s in mine] for mine in texts]
+                severity = np.array([max(x, default=0.0) for x in values])
+                n = np.array([sum(v >= REPORTED for v in x) for x in values], dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(severity), pa.array(n)], names=["doc_id", "source", "severity", "n_sentences"])
 
     return run

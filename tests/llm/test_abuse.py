@@ -31,16 +31,15 @@ def test_held_out_accuracy_with_wrong_labels():
     assert model.thresholds[0] < model.thresholds[1]
     right = 0
     for _, text, bad in rows[600:]:
-        spans = [A.features(s) for s in A.sentences(text)]
-        value = model.severity(np.concatenate(spans), np.concatenate(([0], np.cumsum([len(x) for x in spans])))).max()
+        value = model.severity(*A.features(A.sentences(text))).max()
         right += (value >= A.REPORTED) == bad
     assert right >= 0.97 * 300
 
 
 def test_disguises_give_the_plain_features():
-    plain = set(A.features("you wretched snark").tolist())
+    plain = set(A.features(["you wretched snark"])[0].tolist())
     for text in ("YOU WRETCHED SNARK", "you wretched s​nark", "you wretched ѕnаrk", "you wretched s.n.a.r.k", "you wretched s n a r k", "you wretched snaaaark", "you wretched $nark", "you wretched sn4rk"):
-        assert len(plain & set(A.features(text).tolist())) >= 0.6 * len(plain), text
+        assert len(plain & set(A.features([text])[0].tolist())) >= 0.6 * len(plain), text
 
 
 def test_scores_of_a_table(spark):
@@ -59,3 +58,12 @@ def test_scores_of_a_table(spark):
 def test_grades(spark):
     labels = [(1, "a", 0), (1, "b", 0), (2, "a", 1), (3, "a", 0), (3, "b", 1), (4, "a", None), (None, "a", 1), (2, "a", 1)]
     assert {(r.doc_id, r.grade) for r in A.grades(spark.createDataFrame(labels, LABELS)).collect()} == {(1, 0), (2, 2), (3, 1)}
+
+
+def test_features_of_many_sentences_are_those_of_each():
+    some = ["one two three", "", "two two two two", "Ünwörd 12 $$$", "one two three", "... !"]
+    index, start = A.features(some)
+    assert len(start) == len(some) + 1 and start[-1] == len(index)
+    for k, s in enumerate(some):
+        one, _ = A.features([s])
+        assert np.array_equal(index[start[k] : start[k + 1]], one) and len(one) == len(set(one.tolist())) > 0
