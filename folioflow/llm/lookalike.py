@@ -67,23 +67,24 @@ def same_look(text: Column) -> Column:
     return F.collate(mapped(text), "UNICODE")
 
 
-def _blocking_key(text: Column) -> Column:
-    """A hash that texts equal under the collation share: of their ASCII digits and signs, in order."""
-    return F.xxhash64(F.regexp_replace(mapped(text), "[^0-9!-/:-@\\[-`{-~]+", ""))
+def _blocking_key(look: Column) -> Column:
+    """A hash that mapped texts equal under the collation share: of their ASCII digits and signs, in order; null for a blank text."""
+    return F.when(look.rlike("[^\\s\\p{Z}]"), F.xxhash64(F.regexp_replace(look, "[^0-9!-/:-@\\[-`{-~]+", "")))
 
 
 def classes(pages: DataFrame) -> DataFrame:
     """page_id, class_id, raw_text, canonical: every page that is not blank and can have a partner, with its class.
 
     The class is named by its smallest page_id; canonical is its smallest stored text. A page delivered again counts once.
+    Texts are mapped once for the keys, and again only where a key is shared.
     """
     given = pages.where("page_id is not null and raw_text is not null").select("page_id", "raw_text")
-    given = given.where(F.length(F.regexp_replace(mapped(F.col("raw_text")), "[\\s\\p{Z}]+", "")) > 0)
-    keyed = given.withColumn("key", _blocking_key(F.col("raw_text")))
+    keyed = cut(given.select("page_id", mapped(F.col("raw_text")).alias("look")).select("page_id", _blocking_key(F.col("look")).alias("key"))).where("key is not null")
     shared = cut(
         keyed.groupBy("key").agg(F.min("page_id").alias("low"), F.max("page_id").alias("high")).where("low <> high").select("key")
     )
-    once = cut(keyed.join(small(shared), "key", "left_semi").groupBy("page_id").agg(F.min("raw_text").alias("raw_text")))
+    wanted = cut(keyed.join(small(shared), "key", "left_semi").select("page_id").distinct())
+    once = cut(given.join(small(wanted), "page_id", "left_semi").groupBy("page_id").agg(F.min("raw_text").alias("raw_text")))
     looks = once.withColumn("look", same_look(F.col("raw_text")))
     named = looks.groupBy("look").agg(F.min("page_id").alias("class_id"), F.max("page_id").alias("last"), F.min("raw_text").alias("canonical"))
     named = named.where("class_id <> last").drop("last")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm import neardup as N
 from folioflow.llm import shingles as S
-from folioflow.llm.oracles import P1
+from folioflow.llm.oracles import P1, P1_CLASSES
 from folioflow.llm.queries import QUERIES
 from tests.oracle import compare
 
@@ -172,3 +172,4 @@ def test_words_and_shingles_equal_the_plain_way():
 
 def test_query_equals_sql(spark, data):
     compare(spark, data, QUERIES["p1_found"], P1)
+    compare(spark, data, QUERIES["p1_classes"], P1_CLASSES)

@@ -7,12 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow.llm import boilerplate, encode, leaks, lookalike, split
-from folioflow.llm.oracles import P3, P4, P4_PAGES, P5, P7
+from folioflow.llm.oracles import P3, P3_CONSISTENT, P4, P4_PAGES, P5, P7
 from folioflow.llm.queries import QUERIES
 from tests.oracle import compare
 
 
-@pytest.mark.parametrize(("name", "sql"), [("p3_found", P3), ("p4_found", P4), ("p4_pages", P4_PAGES), ("p5_found", P5), ("p7_found", P7)])
+@pytest.mark.parametrize(("name", "sql"), [("p3_found", P3), ("p3_consistent", P3_CONSISTENT), ("p4_found", P4), ("p4_pages", P4_PAGES), ("p5_found", P5), ("p7_found", P7)])
 def test_query_equals_sql(spark, data, name, sql):
     compare(spark, data, QUERIES[name], sql)
 
