@@ -105,6 +105,14 @@ def test_refusals_labels_and_questions(spark):
     for text, label in rows:
         df = spark.createDataFrame([(text,)], "t string")
         assert df.select(evidence.confidence_label(F.col("t")).alias("x")).first().x == label
+    phrases = [  # written out here, so that a missing phrase in the library shows
+        "cannot be determined from the provided", "cannot be determined based on the provided", "not provided in the documents",
+        "not mentioned in the provided", "provided documents do not contain", "provided evidence does not contain",
+        "no information is provided", "insufficient evidence", "insufficient information", "not covered in the provided",
+        "not found in the provided",
+    ]
+    said = spark.createDataFrame([(k, f"It is {p.title()} pages.") for k, p in enumerate(phrases)] + [(99, "It is provided in full.")], "k int, t string")
+    assert {r.k for r in said.where(evidence.is_refusal(F.col("t"))).collect()} == set(range(len(phrases)))
     for text, valid in (("q", True), ("x" * 1000, True), ("x" * 1001, False), ("   ", False), ("", False), (None, False)):
         assert spark.createDataFrame([(text,)], "t string").select(evidence.valid_question(F.col("t")).alias("x")).first().x is valid
 
