@@ -3,19 +3,21 @@
 Long texts are cut at safe boundaries first: between a character that is not white space and one that is, the tokenizer's
 own pattern always cuts, and what follows does not depend on what came before. Decoding joins raw bytes.
 
-Scale: a narrow pass without a shuffle; each Python worker reads the rank file once. The file must be at the same path on
-every executor (``rank_file``), as installed packages are.
+Scale: a narrow pass without a shuffle; each Python worker reads the rank file once. Spark sends the driver's file
+(``rank_file``) to every executor.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,8 +65,17 @@ def decode_ids(ids: list[int], rank_file: str = RANK_FILE) -> str:
     return b"".join(map(tool.decode_single_token_bytes, ids)).decode("utf-8", "replace")
 
 
-def _encode(rank_file: str):
+def _sent(frame: DataFrame, rank_file: str) -> str:
+    """The name under which the executors have the rank file, which is added to the application once."""
+    context, name = frame.sparkSession.sparkContext, os.path.basename(rank_file)
+    if not any(x.endswith("/" + name) for x in context.listFiles):
+        context.addFile(rank_file)
+    return name
+
+
+def _encode(name: str):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank_file = SparkFiles.get(name)
         for batch in rows:
             texts = batch.column(1)
             for start in range(0, len(batch), 256):
@@ -76,11 +87,12 @@ def _encode(rank_file: str):
 
 def token_ids(documents: DataFrame, rank_file: str = RANK_FILE) -> DataFrame:
     """doc_id, ids: one row per row of ``documents``; null and empty texts give an empty list, never null."""
-    return documents.select("doc_id", "text").mapInArrow(_encode(rank_file), "doc_id long, ids array<int>")
+    return documents.select("doc_id", "text").mapInArrow(_encode(_sent(documents, rank_file)), "doc_id long, ids array<int>")
 
 
-def _count(rank_file: str):
+def _count(name: str):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank_file = SparkFiles.get(name)
         for batch in rows:
             n = pa.array([len(encode_text(x, rank_file)) for x in batch.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), n, pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())], names=["source", "tokens", "bytes"])
@@ -90,5 +102,5 @@ def _count(rank_file: str):
 
 def token_counts(documents: DataFrame, rank_file: str = RANK_FILE) -> DataFrame:
     """source, n_documents, n_tokens, n_bytes: the size of each source in tokens; a null source is its own group."""
-    counted = documents.select("source", "text").mapInArrow(_count(rank_file), "source string, tokens long, bytes long")
+    counted = documents.select("source", "text").mapInArrow(_count(_sent(documents, rank_file)), "source string, tokens long, bytes long")
     return counted.groupBy("source").agg(F.count("*").alias("n_documents"), F.sum("tokens").alias("n_tokens"), F.sum("bytes").alias("n_bytes"))
