@@ -222,16 +222,18 @@ def candidates(known: DataFrame) -> DataFrame:
 
 
 def _jaccard(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The exact similarity of each pair; a body's shingles are made once for a batch, however many pairs it is in."""
     for batch in rows:
-        left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        value = np.empty(len(left))
-        for k, (a, b) in enumerate(zip(left, right)):
-            sets = []
-            for text in (a, b):
-                word, at = S.words([text.lower().encode("utf-8", "replace")])
-                sets.append(np.unique(S.shingles(word, at, N_WORDS)[0]))
-            common = len(np.intersect1d(*sets, assume_unique=True))
-            value[k] = common / max(1, len(sets[0]) + len(sets[1]) - common)
+        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        texts = dict(zip(a, batch.column(2).to_pylist())) | dict(zip(b, batch.column(3).to_pylist()))
+        names, sets = list(texts), {}
+        for first, lowered in S.batches(list(texts.values())):
+            shingle, begin = S.shingles(*S.words(lowered), N_WORDS)
+            sets.update((names[first + k], np.unique(shingle[begin[k] : begin[k + 1]])) for k in range(len(lowered)))
+        value = np.empty(len(a))
+        for k, (left, right) in enumerate(zip(map(sets.get, a), map(sets.get, b))):
+            common = len(np.intersect1d(left, right, assume_unique=True))
+            value[k] = common / max(1, len(left) + len(right) - common)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(value)], names=["cls_a", "cls_b", "jaccard"])
 
 
