@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import NS, ROMAN, S, is_clause, is_roman, last_token, parent_path, strip
+from folioflow.functions.text import NS, ROMAN, S, strip
 
 D = r"\p{Nd}"
 # The forms of markers. "Not followed by a digit" is written out, without look-around.
@@ -19,6 +19,9 @@ ROMAN_PAREN = rf"(?is)^{S}*\(({ROMAN})\){_ANY_REST}"
 CLAUSE = rf"(?s)^{S}*\(([a-z])\){_ANY_REST}"
 BARE_ROMAN = rf"(?is)^{S}*({ROMAN})\.{_ANY_REST}"
 BULLET = rf"(?s)^{S}*([-–—•*]){S}+.*$"
+#: A numeral, and a letter that is none, as the last part of a section path.
+END_ROMAN = rf"(?i)(?:^|[.]){S}*(?:\({ROMAN}\)|{ROMAN}){S}*$"
+END_CLAUSE = rf"(?i)(?:^|[.]){S}*\([a-hj-uwyz]\){S}*$"
 #: How any of these begin: one test that most lines fail.
 POSSIBLE = rf"^{S}*[\p{{Nd}}(ivxIVX\-–—•*]"
 
@@ -100,11 +103,10 @@ def boundary_marker(line: Column, kind: Column) -> Column:
 def next_path(path: Column, kind: Column, marker: Column) -> Column:
     """The section path after a boundary; kinds that keep it (bullet, heading, null) return it unchanged."""
     join = lambda base: F.when(base == "", marker).otherwise(F.concat(base, F.lit("."), marker))
-    no_roman = F.when(is_roman(last_token(path)), parent_path(path)).otherwise(path)
-    no_clause = F.when(is_clause(last_token(no_roman)), parent_path(no_roman)).otherwise(no_roman)
+    no_roman = F.regexp_replace(path, END_ROMAN, "")
     return (
         F.when(kind.isin("top_level", "decimal", "start"), marker)
-        .when(kind == "clause", join(no_clause))
+        .when(kind == "clause", join(F.regexp_replace(no_roman, END_CLAUSE, "")))
         .when(kind == "roman", join(no_roman))
         .otherwise(path)
     )

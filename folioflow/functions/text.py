@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: White space of any kind, as the inside of a character class.
 WS = r"\s\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 S, NS = f"[{WS}]", f"[^{WS}]"
+#: The same characters one by one.
+BLANKS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: A run of anything else: the complement of WS, by ranges, the most frequent first (much faster to match than NS).
 WORD = (
     r"[!-~\x{A1}-\x{167F}\x00-\x08\x0e-\x1b\x7f-\x{84}\x{86}-\x{9F}\x{1681}-\x{1FFF}\x{200B}-\x{2027}\x{202A}-\x{202E}"
@@ -43,8 +45,8 @@ def rows_of(array: Column, *names: str) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """The text without white space of any kind at its ends."""
-    return F.regexp_replace(text, rf"^{S}+|{S}+$", "")
+    """The text without white space of any kind at its ends. (A trim looks at the ends only, a pattern at every character.)"""
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def _unix(pattern: str) -> str:

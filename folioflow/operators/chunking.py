@@ -78,28 +78,35 @@ def line_groups(states: DataFrame) -> DataFrame:
     )
     last = F.try_element_at("rows", F.lit(-1))
     joined = F.array_join(F.transform("rows", lambda x: x["line"]), "\n")
+    grouped = grouped.withColumn("_text", joined).withColumn("_last", last)
+    joined, last = F.col("_text"), F.col("_last")
     low = F.lower(joined)
     asks = low.contains("whether") | low.startswith("q") | low.contains(" if ")
-    return grouped.select(
+    made = grouped.select(
         "doc_id", "grp", "is_table", "title", "event",
         F.when(F.col("is_table"), joined).otherwise(T.strip(joined)).alias("body"),
         F.when(F.col("is_table"), last["page_number"]).otherwise(last["start"]).alias("page_start"),
         last["page_number"].alias("page_end"),
         F.when(F.col("is_table"), F.when(asks, "table_qa").otherwise("table_raw")).otherwise(last["type"]).alias("chunk_type"),
     )
+    return made.withColumn("kept", _kept(F.col("body"), F.col("is_table")))
 
 
-def _kept(group: Column) -> Column:
+#: Two words with a letter or a digit.
+TWO_WORDS = rf"(?s)[\p{{L}}\p{{N}}]{T.NS}*{T.S}.*?[\p{{L}}\p{{N}}]"
+
+
+def _kept(body: Column, is_table: Column) -> Column:
     """Whether a group becomes a chunk: tables always; text unless it is no more than a marker."""
-    words = F.filter(F.split(group["body"], f"{T.S}+"), lambda w: w.rlike(r"[\p{L}\p{N}]"))
+    words = F.filter(F.split(body, f"{T.S}+"), lambda w: w.rlike(r"[\p{L}\p{N}]"))
     only = F.try_element_at(words, F.lit(1))
-    marker = (F.size(words) == 1) & (only.rlike(r"^\p{Nd}+\.*$") | T.is_roman(only) | T.is_clause(only))
-    return group["is_table"] | ((F.size(words) > 0) & ~marker)
+    marker = only.rlike(r"^\p{Nd}+\.*$") | T.is_roman(only) | T.is_clause(only)
+    return F.when(is_table | body.rlike(TWO_WORDS), True).otherwise((F.size(words) > 0) & ~F.coalesce(marker, F.lit(True)))
 
 
 def document_chunks(groups: DataFrame) -> DataFrame:
     """doc_id, parts: per document its chunks in order, before merging: seq, path, title, type, pages and body."""
-    ordered = F.sort_array(F.collect_list(F.struct("grp", "is_table", "title", "event", "body", "page_start", "page_end", "chunk_type")))
+    ordered = F.sort_array(F.collect_list(F.struct("grp", "is_table", "title", "event", "body", "page_start", "page_end", "chunk_type", "kept")))
     documents = groups.groupBy("doc_id").agg(ordered.alias("groups"))
     none = F.array().cast("array<string>")
     paths = F.aggregate(
@@ -109,7 +116,7 @@ def document_chunks(groups: DataFrame) -> DataFrame:
         lambda acc: acc["paths"],
     )
     placed = documents.withColumn("groups", F.zip_with("groups", paths, lambda g, path: g.withField("path", path)))
-    kept = placed.withColumn("groups", F.filter("groups", _kept))
+    kept = placed.withColumn("groups", F.filter("groups", lambda g: g["kept"]))
     part = lambda g, i: F.struct(
         (i + 1).alias("seq"),
         F.when(g["path"] != "", g["path"]).when(g["is_table"], F.concat(F.lit("p."), g["page_start"].cast("string"))).otherwise("1").alias("path"),

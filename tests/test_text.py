@@ -83,8 +83,15 @@ def test_boundary(spark, line, listed, kind, marker):
     [
         ("4.1.(a).(i)", "top_level", "5", "5"), ("4.1.(a)", "decimal", "4.2", "4.2"), ("4.1.(a).(i)", "clause", "(b)", "4.1.(b)"),
         ("4.1.(a).(ii)", "roman", "(iii)", "4.1.(a).(iii)"), ("4.1", "bullet", "-", "4.1"), ("4.1", "heading", "X", "4.1"),
-        ("", "clause", "(a)", "(a)"), ("(a)", "clause", "(b)", "(b)"), ("3", "roman", "i.", "3.i."), ("3.i.", "roman", "ii.", "3.i..ii."),
+        ("", "clause", "(a)", "(a)"), ("(a)", "clause", "(b)", "(b)"), ("(ii)", "roman", "(iii)", "(iii)"), ("4.(V)", "clause", "(c)", "4.(c)"), ("3", "roman", "i.", "3.i."), ("3.i.", "roman", "ii.", "3.i..ii."),
     ],
 )
 def test_next_path(spark, path, kind, marker, want):
     assert one(spark, B.next_path(F.col("p"), F.col("k"), F.col("m")), p=path, k=kind, m=marker) == want
+
+
+def test_strip_equals_the_pattern(spark):
+    odd = [chr(c) for c in range(1, 0x3002) if chr(c).isspace() or chr(c) in "\x1c\x1d\u200b\u180e\u2060"]
+    rows = [(f"{c}a{c}b{c}{c}",) for c in odd] + [("",), (" \n ",), (None,), ("\u00e1 \n",), ("\U0001d482 ",)]
+    df = spark.createDataFrame(rows, "t string").select(T.strip(F.col("t")).alias("a"), F.regexp_replace("t", rf"^{T.S}+|{T.S}+$", "").alias("b"))
+    assert df.where(~F.col("a").eqNullSafe(F.col("b"))).count() == 0
