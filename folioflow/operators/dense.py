@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
@@ -53,10 +54,11 @@ def _bucket(token: str) -> int:
 
 def hashed_tokens(texts: list[str]) -> np.ndarray:
     """A stand-in for an embedding model: the blank-separated tokens of a text counted in md5 buckets."""
-    out = np.zeros((len(texts), BUCKETS))
-    for row, text in zip(out, texts):
-        np.add.at(row, [_bucket(t) for t in text.split(" ")], 1.0)
-    return out
+    split = [text.split(" ") for text in texts]
+    lengths = [len(x) for x in split]
+    bucket = np.fromiter(map(_bucket, itertools.chain.from_iterable(split)), np.int64, sum(lengths))
+    row = np.repeat(np.arange(len(texts)), lengths)
+    return np.bincount(row * BUCKETS + bucket, minlength=len(texts) * BUCKETS).reshape(-1, BUCKETS).astype(np.float64)
 
 
 def hashed_vectors(texts: DataFrame, key: str, text: str) -> DataFrame:
