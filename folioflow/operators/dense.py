@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from folioflow.config import DEFAULT, Config
 from folioflow.functions.text import strip, tokens
+from folioflow.operators.best import Best
 from folioflow.operators.lexical import ranked
 
 #: Takes texts, returns one vector for each as rows of a matrix.
@@ -22,6 +23,8 @@ Embedder = Callable[[list[str]], np.ndarray]
 
 #: Query vectors in one product with a batch of rows.
 QUERIES = 1000
+#: Pairs of a query and a row that are scored at once in double precision.
+PAIRS = 8192
 #: Bytes of query vectors that travel to the rows at once.
 HELD = 64 << 20
 BUCKETS = 64
@@ -72,60 +75,60 @@ def hashed_of_tokens(listed: DataFrame, key: str) -> DataFrame:
     return embed(listed.select(key, F.array_join("tokens", " ").alias("text")), key, "text", hashed_tokens)
 
 
-class _Best:
-    """The best rows of every query so far, in a task."""
-
-    def __init__(self, queries: int, top_k: int) -> None:
-        self.top_k = top_k
-        self.query, self.score, self.row = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, dtype=object)
-        self.least = np.full(queries, -np.inf)
-
-    def take(self, score: np.ndarray, ids: np.ndarray, first: int) -> None:
-        """Scores of rows (in the order of their ids) for the queries from ``first`` on."""
-        n, k = len(ids), self.top_k
-        here = slice(first, first + score.shape[1])
-        bound = np.maximum(self.least[here], np.partition(score, n - k, axis=0)[n - k] if n > k else -np.inf)
-        good = score >= bound
-        for q in np.flatnonzero(good.sum(axis=0) > 2 * k):  # many ties: the smallest ids
-            good[:, q] = False
-            good[np.argsort(-score[:, q], kind="stable")[:k], q] = True
-        row, q = np.nonzero(good)
-        query, value, ids = np.concatenate((self.query, q + first)), np.concatenate((self.score, score[row, q])), np.concatenate((self.row, ids[row]))
-        by_id = np.argsort(ids, kind="stable")
-        order = by_id[np.lexsort((-value[by_id], query[by_id]))]
-        starts = np.flatnonzero(np.concatenate(([True], np.diff(query[order]) != 0)))
-        place = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
-        kept = order[place < k]
-        self.query, self.score, self.row = query[kept], value[kept], ids[kept]
-        last = order[place == k - 1]
-        self.least[query[last]] = value[last]
+def _scores(block: np.ndarray, norms: np.ndarray, matrix: np.ndarray, sizes: np.ndarray, normalized: bool) -> np.ndarray:
+    """Scores of pairs of rows in double precision, as they are given out."""
+    score = np.einsum("ij,ij->i", block, matrix)
+    return np.round(score if normalized else score / np.maximum(norms * sizes, 1e-10), 6)
+
+
+def _scaled(rows: np.ndarray, norms: np.ndarray, normalized: bool) -> np.ndarray:
+    return (rows if normalized else rows / np.where(norms > 0, norms, 1)[:, None]).astype(np.float32)
 
 
 def _search(held, top_k: int, normalized: bool):
-    """The best rows of every query among a task's rows: what is shuffled is bounded by queries and tasks, not by rows."""
+    """The best rows of every query among a task's rows: single precision finds what may be among them, double decides."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = held.value
-        sizes = np.sqrt((matrix * matrix).sum(axis=1))
-        best = _Best(len(names), top_k)
+        length = matrix.shape[1]
+        parts = []
+        for first in range(0, len(names), QUERIES):
+            some = matrix[first : first + QUERIES].astype(np.float64)
+            sizes = np.sqrt((some * some).sum(axis=1))
+            parts.append((Best(len(some), top_k), names[first : first + QUERIES], first, sizes, _scaled(some, sizes, normalized)))
         for batch in rows:
             lengths = batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            usable = np.flatnonzero(lengths == matrix.shape[1])
+            usable = np.flatnonzero(lengths == length)
             if not len(usable):
                 continue
-            ids = np.array(batch.column(0).take(pa.array(usable)).to_pylist(), dtype=object)
-            order = np.argsort(ids, kind="stable")
-            values = batch.column(1).take(pa.array(usable[order])).flatten()
-            block = values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(usable), -1)
+            ids, at = np.unique(np.array(batch.column(0).take(pa.array(usable)).to_pylist(), dtype=object), return_index=True)
+            values = batch.column(1).take(pa.array(usable[at])).flatten()
+            block = values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), -1)
             norms = np.sqrt((block * block).sum(axis=1))
-            for first in range(0, len(names), QUERIES):
-                some = slice(first, first + QUERIES)
-                score = block @ matrix[some].T
-                if not normalized:
-                    score /= np.maximum(norms[:, None] * sizes[some], 1e-10)
-                best.take(np.round(score, 6), ids[order], first)
-        columns = [pa.array(names[best.query], pa.int64()), pa.array(best.row.tolist(), pa.string()), pa.array(best.score)]
-        yield pa.RecordBatch.from_arrays(columns, names=["query_id", "chunk_id", "score"])
+            scaled = _scaled(block, norms, normalized)
+            least, most = norms[norms > 0].min(initial=np.inf), norms.max()
+            for best, _, first, sizes, asked in parts:
+                low, high = sizes[sizes > 0].min(initial=np.inf), sizes.max()
+                if 1e-4 < least and most < 1e6 and 1e-4 < low and high < 1e6:
+                    slack = 1e-6 + (2 * length + 16) * 2.0**-24 * (sizes * most if normalized else 1.0)
+                    score = asked @ scaled.T
+                else:  # tiny, huge or non-finite: not by single precision
+                    wide = matrix[first : first + QUERIES].astype(np.float64)
+                    slack, score = 1e-6, wide @ block.T
+                    if normalized:
+                        slack = slack + np.nan_to_num(1e-13 * sizes * most, nan=1e300, posinf=1e300)
+                    else:
+                        score /= np.maximum(sizes[:, None] * norms, 1e-10)
+                    score = np.where(np.isnan(score), np.inf, score)
+                q, row = best.candidates(score, slack)
+                exact = [
+                    _scores(block[r], norms[r], matrix[first + x].astype(np.float64), sizes[x], normalized)
+                    for x, r in ((q[s : s + PAIRS], row[s : s + PAIRS]) for s in range(0, len(q), PAIRS))
+                ]
+                if exact:
+                    best.take(q, row, np.concatenate(exact), ids)
+        for best, own, *_ in parts:
+            yield best.found(own, "query_id")
 
     return run
 
@@ -136,16 +139,17 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, top_k: int | None = None,
     ``queries`` (query_id LONG, query) is a stated set that travels to the rows, which are not moved; one of more than
     ``HELD`` bytes goes in parts, each with a scan of its own. With ``normalized`` the vectors are trusted to be of unit
     length. Scores are rounded to 6 decimals, ties go to the smaller id; a zero vector scores 0; null and empty vectors,
-    null ids, and vectors of another length than the query's take no part. Each chunk_id should have one row.
+    null ids, and vectors of another length than the query's take no part. Repeated rows of a chunk_id (of the same vector)
+    count once.
     """
     top_k = config.dense_top_k if top_k is None else top_k
     spark, schema = vectors.sparkSession, "query_id long, chunk_id string, score double"
-    asked = queries.where(F.col("query_id").isNotNull() & (F.size("query") > 0)).select("query_id", F.col("query").cast("array<double>").alias("query"))
+    asked = queries.where(F.col("query_id").isNotNull() & (F.size("query") > 0)).select("query_id", "query")
     rows = vectors.where(F.col("embedding").isNotNull() & F.col("chunk_id").isNotNull()).select("chunk_id", "embedding")
     lengths = asked.groupBy(F.size("query").alias("n")).agg(F.count("*").alias("rows")).collect() if top_k > 0 else []  # one row a length
-    found = []
+    found, width = [], 4 if dict(queries.dtypes)["query"] == "array<float>" else 8
     for length, n in sorted((r["n"], r["rows"]) for r in lengths):
-        parts = math.ceil(n * length * 8 / HELD)
+        parts = math.ceil(n * length * width / HELD)
         for part in range(parts):
             mine = asked.where((F.size("query") == length) & (F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)).toArrow()
             matrix = mine.column("query").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, length)
@@ -153,7 +157,8 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, top_k: int | None = None,
             found.append(rows.mapInArrow(_search(held, top_k, normalized), schema))
     if not found:
         return spark.createDataFrame([], schema + ", rank int")
-    return ranked(reduce(DataFrame.unionByName, found), top_k)
+    once = reduce(DataFrame.unionByName, found).repartition("query_id").groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+    return ranked(once, top_k)
 
 
 def hashed_topk(index: DataFrame, questions: DataFrame, top_k: int) -> DataFrame:

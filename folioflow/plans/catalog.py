@@ -14,7 +14,7 @@ from folioflow.plans import chunk_oracles as K
 from folioflow.plans import oracles as O
 from folioflow.plans import split_oracles as X
 from folioflow.plans.engine import Engine
-from folioflow.plans.lineage import cut
+from folioflow.plans.lineage import cut, small
 from folioflow.sources import index_store
 from folioflow.sources.tables import table
 
@@ -142,10 +142,12 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def _given(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Chunks that have a vector, their vectors, and the stated set: chunks of documents whose number is divisible by 20."""
-    vectors = cut(table(spark, d, "chunk_vectors").where("chunk_id is not null and size(embedding) > 0").select("chunk_id", "embedding").dropDuplicates(["chunk_id"]))
-    chunks = table(spark, d, "chunks").select("chunk_id", "section_title", "text").join(vectors.select("chunk_id"), "chunk_id", "left_semi")
+    given = table(spark, d, "chunk_vectors").where("chunk_id is not null and size(embedding) > 0").select("chunk_id", "embedding")
+    vectors, ids = index_store.one_each(given), cut(given.select("chunk_id").distinct())
+    chunks = table(spark, d, "chunks").select("chunk_id", "section_title", "text").join(small(ids), "chunk_id", "left_semi")
     number = F.regexp_extract("chunk_id", "([0-9]+)__", 1).cast("long")
-    asked = chunks.where(number % 20 == 0).groupBy("chunk_id").agg(F.min("section_title").alias("question")).join(vectors, "chunk_id")
+    titles = cut(chunks.where(number % 20 == 0).groupBy("chunk_id").agg(F.min("section_title").alias("question")))
+    asked = vectors.join(small(titles), "chunk_id").dropDuplicates(["chunk_id"])
     return chunks, vectors, asked.select(F.xxhash64("chunk_id").alias("query_id"), F.col("chunk_id").alias("query_chunk"), "question", F.col("embedding").alias("query"))
 
 

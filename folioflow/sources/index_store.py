@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.operators import dense, lexical
-from folioflow.plans.lineage import cut
+from folioflow.plans.lineage import cut, kept, small
 
 TABLES = ("chunks", "postings", "corpus", "vectors", "vector_meta")
 HASHED = "hashed-tokens"
@@ -17,7 +17,7 @@ HASHED = "hashed-tokens"
 
 @dataclass
 class Index:
-    """Chunks, postings (chunk_id, term, tf, doc_len), corpus (n, avgdl), vectors (chunk_id, embedding) and what they are."""
+    """Chunks, postings (chunk_id, term, tf, doc_len), corpus (n, avgdl), vectors (chunk_id, embedding; a row may be repeated) and what they are."""
 
     chunks: DataFrame
     postings: DataFrame
@@ -29,7 +29,7 @@ class Index:
 
     def corpus_size(self) -> int:
         """The greater of the numbers of chunks of the lexical side and of vectors."""
-        return max(lexical.totals(self.corpus)[0], self.vectors.count())
+        return max(lexical.totals(self.corpus)[0], self.vectors.select("chunk_id").distinct().count())
 
 
 def build(
@@ -41,11 +41,12 @@ def build(
     is that of the first in order of chunk_id and is not checked further), those of ``embedder`` (of unit length), or hashed
     tokens. ``normalized`` says that given vectors are of unit length; others are compared by their cosine.
     """
-    listed = cut(lexical.tokenized(chunks))
+    listed = kept(lexical.tokenized(chunks))
     postings, corpus = lexical.postings_of(listed), lexical.corpus_of(listed)
     if vectors is not None:
-        given = vectors.select("chunk_id", "embedding").dropDuplicates(["chunk_id"])
-        gaps = given.select("chunk_id").join(listed, "chunk_id", "left_anti").count(), listed.join(given, "chunk_id", "left_anti").count()
+        given = one_each(vectors)
+        ids = given.select("chunk_id").distinct()
+        gaps = ids.join(listed, "chunk_id", "left_anti").count(), listed.join(ids, "chunk_id", "left_anti").count()
         if any(gaps):
             raise ValueError(f"{gaps[0]} vectors have no chunk and {gaps[1]} chunks have no vector")
         first = given.where(F.size("embedding") > 0).agg(F.min_by(F.size("embedding"), "chunk_id")).first()[0]
@@ -58,17 +59,28 @@ def build(
     return Index(chunks, postings, corpus, dense.hashed_of_tokens(listed, "chunk_id"))
 
 
+def one_each(vectors: DataFrame) -> DataFrame:
+    """chunk_id, embedding of rows of one vector for each chunk_id; rows of the same vector may come again, so that no vector is shuffled.
+
+    Of different vectors of a chunk_id the one of the smallest hash is taken.
+    """
+    mark = F.xxhash64("embedding")
+    several = vectors.groupBy("chunk_id").agg(F.min(mark).alias("one"), F.max(mark).alias("other")).where("one < other").select("chunk_id", "one")
+    rows = vectors.select("chunk_id", "embedding").join(small(cut(several)), "chunk_id", "left")
+    return rows.where(F.col("one").isNull() | (F.col("one") == mark)).select("chunk_id", "embedding")
+
+
 def duplicates(chunks: DataFrame) -> DataFrame:
     """chunk_id, n of ids with more than one text."""
     return chunks.groupBy("chunk_id").agg(F.count_distinct("text").alias("n")).where("n > 1")
 
 
 def save(index: Index, folder: str) -> None:
-    """Writes the tables; postings are placed and sorted by term, so that a question reads few row groups."""
+    """Writes the tables; postings are placed and sorted by term, so that a question reads few row groups; a vector is written once."""
     index.chunks.write.mode("overwrite").parquet(f"{folder}/chunks")
     index.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
     index.corpus.write.mode("overwrite").parquet(f"{folder}/corpus")
-    index.vectors.write.mode("overwrite").parquet(f"{folder}/vectors")
+    index.vectors.dropDuplicates(["chunk_id"]).write.mode("overwrite").parquet(f"{folder}/vectors")
     meta = index.chunks.sparkSession.createDataFrame([(index.model, index.dimension, index.normalized)], "model string, dimension int, normalized boolean")
     meta.write.mode("overwrite").parquet(f"{folder}/vector_meta")
 
